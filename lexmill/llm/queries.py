@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import neardup
+from lexmill.llm import history, neardup, radix
 from lexmill.session import table
 
 
@@ -22,8 +22,25 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, sf_dir, "docs"), "ord", "text", 0.8).select(F.col("id").alias("ord"), "group_id", "links")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of later batches that are refused, with the accepted record that each repeats."""
+    refused = history.refused_records(table(spark, sf_dir, "docs"), "ord", "batch", "url", "text")
+    return refused.select(F.col("kept").alias("kept_ord"), F.col("id").alias("ord"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each further copy of a docs record with the lowest ord of its group."""
+    return radix.copy_pairs(table(spark, sf_dir, "docs"), "ord", "title", "text").select(F.col("kept").alias("kept_ord"), F.col("copy").alias("copy_ord"))
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each group of at least two copies, with the number of copies."""
+    groups, _ = radix.format_copies(table(spark, sf_dir, "docs"), "ord", "title", "text")
+    return groups.select(F.col("kept").alias("kept_ord"), "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_groups)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_counts, p5_found, p5_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
