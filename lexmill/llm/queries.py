@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import history, neardup, radix
+from lexmill.llm import consistent, encoding, history, neardup, radix
 from lexmill.session import table
 
 
@@ -22,12 +22,36 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, sf_dir, "docs"), "ord", "text", 0.8).select(F.col("id").alias("ord"), "group_id", "links")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of tasks and docs that hold a value not in the consistent form."""
+    forms = consistent.consistent_forms(table(spark, sf_dir, "docs"), table(spark, sf_dir, "tasks"))
+    return forms.where("changed").select("tbl", "row_key", "field").distinct()
+
+
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value in the consistent form."""
+    forms = consistent.consistent_forms(table(spark, sf_dir, "docs"), table(spark, sf_dir, "tasks"))
+    return forms.select("tbl", "row_key", "field", "place", "form")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of later batches that are refused, with the accepted record that each repeats."""
     refused = history.refused_records(table(spark, sf_dir, "docs"), "ord", "batch", "url", "text")
     return refused.select(F.col("kept").alias("kept_ord"), F.col("id").alias("ord"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of text and title that were decoded with a wrong encoding."""
+    judged = encoding.repaired(table(spark, sf_dir, "docs"), "ord", ["text", "title"])
+    return judged.where("affected").select(F.col("id").alias("ord"), "field")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected values as they can be restored; complete tells that no sign of damage is left."""
+    judged = encoding.repaired(table(spark, sf_dir, "docs"), "ord", ["text", "title"]).where("affected")
+    return judged.select(F.col("id").alias("ord"), "field", "restored", (~F.col("restored").rlike("[\\x{80}-\\x{9f}\\x{fffd}]")).alias("complete"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each further copy of a docs record with the lowest ord of its group."""
     return radix.copy_pairs(table(spark, sf_dir, "docs"), "ord", "title", "text").select(F.col("kept").alias("kept_ord"), F.col("copy").alias("copy_ord"))
@@ -40,7 +64,7 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_counts, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
