@@ -69,9 +69,11 @@ def compatibility() -> dict[int, str]:
 def _odd() -> re.Pattern:
     """Characters that alone make a value worth a closer look."""
     marks = _ranges((0x300, 0x36F), (0x3099, 0x309A))
-    singles = "".join(re.escape(chr(p)) for p in compatibility())
+    singles = "".join(re.escape(chr(p)) for p in compatibility() if p < 0x10000)
     singletons = "".join(chr(p) for p in range(0x80, 0x3000) if (n := unicodedata.normalize("NFC", chr(p))) != chr(p) and len(n) == 1)
-    return re.compile(f"[{_IGNORED}{marks}{singles}{singletons}]")
+    # Characters beyond 16 bits stay out of the class, which is then a table and fast; any of them is worth the look.
+    ignored = re.sub("[\U00010000-\U0010ffff]-?", "", _IGNORED)
+    return re.compile(f"[{ignored}{marks}{singles}{singletons}]|[\U00010000-\U0010ffff]")
 
 
 _IGNORED_RUN = re.compile(f"[{_IGNORED}]+")
