@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import consistent, encoding, history, neardup, radix
+from lexmill.llm import consistent, encoding, history, neardup, radix, sentences
 from lexmill.session import table
 
 
@@ -63,8 +63,13 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("kept").alias("kept_ord"), "copies")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all documents with their places."""
+    return sentences.sentence_table(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_groups, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
