@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import consistent, encoding, history, neardup, radix, sentences
+from lexmill.llm import consistent, encoding, history, mixing, neardup, packing, radix, sentences
 from lexmill.session import table
 
 
@@ -63,13 +63,37 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("kept").alias("kept_ord"), "copies")
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each spec's scope, assigned to containers."""
+    return packing.containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each spec and the share of their capacity that is used."""
+    placed = p7_containers(spark, sf_dir).groupBy("spec_id", "container").agg(F.sum("tokens").alias("tokens"))
+    capacity = table(spark, sf_dir, "pack_specs").select("spec_id", "capacity_tokens")
+    used = placed.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most_tokens"))
+    return used.join(capacity, "spec_id").select("spec_id", "containers", "tokens", "most_tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for each mix."""
+    taken, _ = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return taken.select("mix_id", "doc_id", "times")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the sources of each mix reach."""
+    return mixing.shares(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of all documents with their places."""
     return sentences.sentence_table(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_groups, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
