@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import consistent, encoding, history, mixing, neardup, packing, radix, sentences
+from lexmill.llm import consistent, encoding, history, mixing, neardup, packing, radix, sentences, subjects
 from lexmill.session import table
 
 
@@ -63,6 +63,16 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("kept").alias("kept_ord"), "copies")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every docs record."""
+    return subjects.subject_table(*(table(spark, sf_dir, name) for name in ("docs", "subject_labels", "subjects")))
+
+
+def p6_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records are about each subject."""
+    return p6_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("records"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each spec's scope, assigned to containers."""
     return packing.containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
@@ -93,7 +103,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_groups, p6_found, p6_composition, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
