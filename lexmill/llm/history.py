@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import neardup
 from lexmill.llm import shingles as S
-from lexmill.storage import drop_path, materialize, scratch_path
+from lexmill.storage import drop_path, materialize, release, scratch_path
 
 MAX_RUNS = 4
 #: Ids that are broadcast to fetch texts; beyond it a shuffled semi-join does it.
@@ -185,7 +185,6 @@ class HistoryIndex:
         edges = edges.union(edges.select("b", "a")).toDF("rep", "key")
         watch = belongs.unionByName(placed.select("id", "rep").join(edges, "rep").select("id", F.lit(SET).alias("kind"), "key"))
         state = placed.select("id").join(past, "id", "left").withColumn("status", F.when(F.col("past").isNull(), 0).otherwise(2))
-        state = materialize(state, "batch-state")
         while True:
             view = self._view(belongs, watch, state)
             seen = Observation()
@@ -228,6 +227,7 @@ def refused_records(df: DataFrame, id_col: str, batch_col: str, url_col: str, te
         results.append(outcome.where("kept is not null").select("kept", "id"))
         if number != numbers[-1]:
             index.add(records.join(outcome.where("kept is null").select("id"), "id", "left_semi"))
+        release(spark)
     if not results:
         return spark.createDataFrame([], "kept long, id long")
     every = results[0]
