@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from lexmill.plans import curation, features, grading, search
+
+_MODULES = [curation, search, features, grading]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
