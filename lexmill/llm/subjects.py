@@ -167,28 +167,41 @@ def _batch(batch: pa.RecordBatch):
     return weak, lang, doc, sentence, slot + lang[doc].astype(np.int64) * SLOTS
 
 
-def _summed(features: DataFrame, function, columns: str = "block int, data binary") -> dict[int, np.ndarray]:
-    """Add up what tasks emit as (block, float32 bytes): by block and part of the tasks, then on the driver; sizes are fixed."""
+_SUMS = "block int, slots binary, data binary"
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _summed(features: DataFrame, function, size: int) -> dict[int, np.ndarray]:
+    """Add up what tasks emit: by block a matrix of size rows, of which only those travel that are not 0.
+
+    Blocks are added up in parallel, then one matrix for each block reaches the driver; sizes are fixed.
+    """
+
+    def gather(rows) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                value = np.frombuffer(data, np.float32)
-                sums[block] = sums[block] + value if block in sums else value
-        if sums:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "data": [v.tobytes() for v in sums.values()]})
+        for block, slots, data in rows:
+            at = np.frombuffer(slots, np.int32)
+            values = np.frombuffer(data, np.float32).reshape(len(at), -1)
+            if block not in sums:
+                sums[block] = np.zeros((size, values.shape[1]), np.float32)
+            sums[block][at] += values
+        return sums
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _emit(gather(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))))
 
-    rows = features.mapInArrow(function, columns).repartition(16, "block").mapInArrow(add, columns).collect()
-    sums: dict[int, np.ndarray] = {}
-    for r in rows:
-        value = np.frombuffer(bytes(r.data), np.float32)
-        sums[r.block] = sums[r.block] + value if r.block in sums else value
-    return sums
+    rows = features.mapInArrow(function, _SUMS).repartition(16, "block").mapInArrow(add, _SUMS).collect()
+    return gather((r.block, bytes(r.slots), bytes(r.data)) for r in rows)
 
 
 def _emit(pieces: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"block": pa.array(list(pieces), pa.int32()), "data": [v.astype(np.float32).tobytes() for v in pieces.values()]}, schema=pa.schema([("block", pa.int32()), ("data", pa.binary())]))
+    blocks, slots, data = [], [], []
+    for block, matrix in pieces.items():
+        at = np.flatnonzero(matrix.any(axis=1))
+        if len(at):
+            blocks.append(block)
+            slots.append(at.astype(np.int32).tobytes())
+            data.append(matrix[at].astype(np.float32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(slots, pa.binary()), pa.array(data, pa.binary())], names=["block", "slots", "data"])
 
 
 def _category_term(column):
@@ -231,11 +244,11 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
                 own = s[weak[d] == k]
                 if len(own):
                     total[1 + k] += np.bincount(own, minlength=languages * SLOTS)
-        yield _emit({k: total[k] for k in range(1 + count)})
+        yield _emit({k: total[k][:, None] for k in range(1 + count)})
 
-    sums = _summed(features, frequencies)
-    zeros = np.zeros(languages * SLOTS, np.float32)
-    seen = np.stack([sums.get(k, zeros) for k in range(1 + count)])
+    sums = _summed(features, frequencies, languages * SLOTS)
+    zeros = np.zeros((languages * SLOTS, 1), np.float32)
+    seen = np.stack([sums.get(k, zeros)[:, 0] for k in range(1 + count)])
     shared = context.broadcast(_weights(seen, count))
 
     def vectors(batch):
@@ -264,18 +277,17 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
                     at = np.flatnonzero(np.diff(s[order], prepend=-1))
                     if len(at):
                         total[s[order][at]] += np.add.reduceat(projected[d[order]] * v[order, None], at, axis=0)
-            yield _emit({k: block for k in range(languages) if (block := total[k * SLOTS : (k + 1) * SLOTS].ravel()).any()})
+            yield _emit({k: total[k * SLOTS : (k + 1) * SLOTS] for k in range(languages)})
 
         return emit
 
     width = RANK + OVERSAMPLE
     basis = np.random.default_rng(7).standard_normal((languages * SLOTS, width)).astype(np.float32)
     for _ in range(2):
-        found = _summed(features, ranged(context.broadcast(basis)))
-        last, basis = basis, np.zeros_like(basis)
-        for k, data in found.items():
+        found = _summed(features, ranged(context.broadcast(basis)), SLOTS)
+        basis = np.zeros_like(basis)
+        for k, image in found.items():
             rows = slice(k * SLOTS, (k + 1) * SLOTS)
-            image = data.reshape(SLOTS, width)
             q, _ = np.linalg.qr(image)
             # rotated to the singular vectors within the range
             basis[rows] = q @ np.linalg.svd(q.T @ image)[0]
@@ -313,14 +325,14 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
                         subject, like, clear = nearest(held.value, lang, unit)
                         keep = some & (like > NEAR) & (clear > CLEAR)
                     np.add.at(total, lang[keep] * count + subject[keep], unit[keep])
-            yield _emit({0: total.ravel()})
+            yield _emit({0: total})
 
         return emit
 
     centroids = None
     for _ in range(1 + REFINEMENTS):
-        found = _summed(features, moved(None if centroids is None else context.broadcast(centroids)))
-        raw = found.get(0, np.zeros(languages * count * RANK, np.float32)).reshape(languages, count, RANK)
+        found = _summed(features, moved(None if centroids is None else context.broadcast(centroids)), languages * count)
+        raw = found.get(0, np.zeros((languages * count, RANK), np.float32)).reshape(languages, count, RANK)
         if centroids is None:
             raw = raw / np.maximum(np.linalg.norm(raw, axis=2, keepdims=True), 1e-9)
             raw = raw - 0.7 * raw.mean(axis=1, keepdims=True)
