@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import curation, features, grading, search
+from lexmill.plans import curation, features, grading, ledger, search, streams, tables
 
-_MODULES = [curation, search, features, grading]
+_MODULES = [curation, search, features, grading, ledger, tables, streams]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
