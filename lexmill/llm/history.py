@@ -35,6 +35,8 @@ from lexmill.storage import drop_path, materialize, release, scratch_path
 MAX_RUNS = 4
 #: Ids that are broadcast to fetch texts; beyond it a shuffled semi-join does it.
 BROADCAST_IDS = 200_000
+#: Rows of a batch with its links that are resolved one by one on the driver; beyond it rounds over tables do it.
+ORDERED_ROWS = 200_000
 BAND, SET, URL = 0, 1, 2
 
 
@@ -148,18 +150,9 @@ class HistoryIndex:
             found = hits if found is None else found.unionByName(hits)
         return found
 
-    def resolve(self, records: DataFrame) -> DataFrame:
-        """(id, kept): kept is null for accepted records, else the lowest accepted id that the record repeats.
-
-        Cost: entries of the batch are shuffled; rounds over the batch grow with the longest chain of records of one batch
-        that hang on each other.
-        """
-        reps = records.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-        placed = records.select("id", "url", "n", "f1", "f2").join(reps, ["f1", "f2", "n"], "left")
-        placed = materialize(placed.select("id", F.col("rep").cast("long").alias("rep"), F.xxhash64("url").alias("hash"), F.col("url").isNotNull().alias("has_url")), "batch-records")
-        belongs = placed.where("rep is not null").select("id", F.lit(SET).alias("kind"), F.col("rep").alias("key")).unionByName(
-            placed.where("has_url").select("id", F.lit(URL).alias("kind"), F.col("hash").alias("key"))
-        )
+    def links(self, records: DataFrame) -> tuple[DataFrame, int]:
+        """(kind, id, other) and its number of rows: what the records, by class and url, repeat of history (SET, URL, BAND) and
+        of their own batch (-1, both ways of a pair once, other < id). Band candidates have been checked on their texts."""
         entries = materialize(_entries(records), "batch-entries")
         bands = entries.where(F.col("kind") == BAND)
         old = self.windows(entries)
@@ -167,22 +160,72 @@ class HistoryIndex:
         held = bands.join(shared, "key").select("key", "id")
         new = held.select("key", F.col("id").alias("other")).join(held, "key").where("other < id").select(F.lit(-1).alias("kind"), "id", "other")
         seen = Observation()
-        hits = materialize(old.unionByName(new).distinct().observe(seen, F.count(F.when(F.col("kind") <= 0, 1)).alias("pairs")), "windows")
+        hits = materialize(old.unionByName(new).distinct().observe(seen, F.count(F.when(F.col("kind") <= 0, 1)).alias("pairs"), F.count(F.lit(1)).alias("rows")), "windows")
+        sure = hits.where("kind > 0").select("kind", "id", "other")
+        if not seen.get["pairs"]:
+            return sure, seen.get["rows"]
         pairs = hits.where("kind <= 0").select(F.col("other").alias("a"), F.col("id").alias("b"), "kind")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if 2 * seen.get["pairs"] <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        sets = neardup.shingle_table(self.texts, "id", "text", ids)
-        near = materialize(neardup.exact_similarity(pairs.select("a", "b").distinct(), sets, neardup.THRESHOLD).select("a", "b").join(pairs, ["a", "b"]).select("a", "b", "kind"), "batch-links")
+        sets = materialize(neardup.shingle_table(self.texts, "id", "text", ids), "candidate-sets")
+        near = neardup.exact_similarity(pairs, sets, neardup.THRESHOLD, ["kind"]).select("kind", F.col("b").alias("id"), F.col("a").alias("other"))
+        return sure.unionByName(materialize(near, "batch-links")), seen.get["rows"]
+
+    def resolve(self, records: DataFrame, rows: int) -> DataFrame:
+        """(id, kept) of the refused ones of a batch of that many rows: kept is the lowest accepted id that the record repeats."""
+        links, found = self.links(records)
+        return self._in_order(records, links) if rows + found <= ORDERED_ROWS else self._in_rounds(records, links)
+
+    def _in_order(self, records: DataFrame, links: DataFrame) -> DataFrame:
+        """Record by record, for batches of a checked size."""
+        batch = records.select("id", "n", "f1", "f2", F.when(F.col("url").isNotNull(), F.xxhash64("url")).alias("hash")).toPandas().sort_values("id")
+        said = links.toPandas()
+        first: dict[tuple, int] = {}
+        for row in batch.itertuples(index=False):
+            if row.n:
+                first.setdefault((row.f1, row.f2, row.n), row.id)
+        url_of = dict(zip(batch["id"], batch["hash"].astype("object"))) if batch["hash"].dtype != object else dict(zip(batch["id"], batch["hash"]))
+        past: dict[tuple, int] = {}
+        beside: dict[int, list[int]] = {}
+        for kind, rep, other in zip(said["kind"], said["id"], said["other"]):
+            if kind == -1:
+                beside.setdefault(rep, []).append(other)
+                beside.setdefault(other, []).append(rep)
+            else:
+                key = ("url", url_of[rep]) if kind == URL else ("class", rep)
+                past[key] = min(past.get(key, other), other)
+        accepted: dict[tuple, int] = {}
+        refused = []
+        for row in batch.itertuples(index=False):
+            own = [("class", first[row.f1, row.f2, row.n])] if row.n else []
+            if url_of[row.id] is not None and url_of[row.id] == url_of[row.id]:
+                own.append(("url", url_of[row.id]))
+            seen = [p[k] for k in own for p in (past, accepted) if k in p]
+            seen += [accepted[k] for c in own if c[0] == "class" for r in beside.get(c[1], ()) if (k := ("class", r)) in accepted]
+            if seen:
+                refused.append((int(row.id), int(min(seen))))
+            else:
+                accepted |= {k: row.id for k in own}
+        return self.spark.createDataFrame(refused, "id long, kept long")
+
+    def _in_rounds(self, records: DataFrame, links: DataFrame) -> DataFrame:
+        """In rounds over the whole batch, for batches of any size; as many as the longest chain of records that hang on each other."""
+        reps = records.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
+        placed = records.select("id", "url", "n", "f1", "f2").join(reps, ["f1", "f2", "n"], "left")
+        placed = materialize(placed.select("id", F.col("rep").cast("long").alias("rep"), F.xxhash64("url").alias("hash"), F.col("url").isNotNull().alias("has_url")), "batch-records")
+        belongs = placed.where("rep is not null").select("id", F.lit(SET).alias("kind"), F.col("rep").alias("key")).unionByName(
+            placed.where("has_url").select("id", F.lit(URL).alias("kind"), F.col("hash").alias("key"))
+        )
         # What history says, by class and by url
-        by_class = near.where("kind = 0").select(F.col("b").alias("key"), "a").union(hits.where(F.col("kind") == SET).select("id", "other"))
+        by_class = links.where(F.col("kind").isin(BAND, SET)).select(F.col("id").alias("key"), F.col("other").alias("a"))
         url_of = placed.where("has_url").select("id", "hash")
-        by_url = hits.where(F.col("kind") == URL).select("id", "other").join(url_of, "id").select(F.col("hash").alias("key"), F.col("other").alias("a"))
+        by_url = links.where(F.col("kind") == URL).select("id", "other").join(url_of, "id").select(F.col("hash").alias("key"), F.col("other").alias("a"))
         past = by_class.groupBy("key").agg(F.min("a").alias("past")).withColumn("kind", F.lit(SET)).unionByName(by_url.groupBy("key").agg(F.min("a").alias("past")).withColumn("kind", F.lit(URL)))
         past = belongs.join(past, ["kind", "key"]).groupBy("id").agg(F.min("past").alias("past"))
         # Who has to look at whom within the batch
-        edges = near.where("kind = -1").select("a", "b")
-        edges = edges.union(edges.select("b", "a")).toDF("rep", "key")
+        edges = links.where("kind = -1").select("id", "other")
+        edges = edges.union(edges.select("other", "id")).toDF("rep", "key")
         watch = belongs.unionByName(placed.select("id", "rep").join(edges, "rep").select("id", F.lit(SET).alias("kind"), "key"))
         state = placed.select("id").join(past, "id", "left").withColumn("status", F.when(F.col("past").isNull(), 0).otherwise(2))
         while True:
@@ -197,7 +240,7 @@ class HistoryIndex:
             )
             if not seen.get["open"]:
                 break
-        return state.join(self._view(belongs, watch, state), "id", "left").select("id", F.when(F.col("status") == 2, F.least("past", "first")).alias("kept"))
+        return state.where("status = 2").join(self._view(belongs, watch, state), "id", "left").select("id", F.least("past", "first").alias("kept"))
 
     @staticmethod
     def _view(belongs: DataFrame, watch: DataFrame, state: DataFrame) -> DataFrame:
@@ -215,7 +258,8 @@ def refused_records(df: DataFrame, id_col: str, batch_col: str, url_col: str, te
     spark = df.sparkSession
     features = record_features(df, id_col, batch_col, url_col, text_col)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(batch_col).cast("int").alias("batch"), F.col(text_col).alias("text"))
-    numbers = sorted(r.batch for r in features.select("batch").distinct().collect())
+    sizes = {r.batch: r["count"] for r in features.groupBy("batch").count().collect()}
+    numbers = sorted(sizes)
     index, results = HistoryIndex(spark, texts), []
     for number in numbers:
         records = features.where(F.col("batch") == number)
@@ -223,10 +267,10 @@ def refused_records(df: DataFrame, id_col: str, batch_col: str, url_col: str, te
         if number == numbers[0]:
             index.add(records)
             continue
-        outcome = materialize(index.resolve(records), "outcome")
-        results.append(outcome.where("kept is not null").select("kept", "id"))
+        refused = materialize(index.resolve(records, sizes[number]), "refused")
+        results.append(refused.select("kept", "id"))
         if number != numbers[-1]:
-            index.add(records.join(outcome.where("kept is null").select("id"), "id", "left_semi"))
+            index.add(records.join(refused.select("id"), "id", "left_anti"))
         release(spark)
     if not results:
         return spark.createDataFrame([], "kept long, id long")

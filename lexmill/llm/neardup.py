@@ -90,15 +90,15 @@ def candidate_pairs(features: DataFrame, block: int = BLOCK) -> DataFrame:
     return left.join(right, ["key", "own", "other"]).where("a < b").select("a", "b").distinct()
 
 
-def exact_similarity(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose Jaccard similarity on (id, shingles) is at least the threshold."""
+def exact_similarity(pairs: DataFrame, sets: DataFrame, threshold: float, keep: list[str] | None = None) -> DataFrame:
+    """(a, b, similarity) and the columns of keep of the pairs whose Jaccard similarity on (id, shingles) is at least the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    measured = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
+    measured = pairs.join(left, "a").join(right, "b").select("a", "b", *(keep or []), both.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
     # both / (total - both) >= t, without a division that rounds
     return measured.where(F.col("both") * (1 + threshold) + 1e-9 >= F.col("total") * threshold).select(
-        "a", "b", (F.col("both") / (F.col("total") - F.col("both"))).alias("similarity")
+        "a", "b", *(keep or []), (F.col("both") / (F.col("total") - F.col("both"))).alias("similarity")
     )
 
 
