@@ -204,6 +204,19 @@ def _emit(pieces: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(slots, pa.binary()), pa.array(data, pa.binary())], names=["block", "slots", "data"])
 
 
+class _Rows:
+    """The rows of a matrix over all slots that are not 0: what is broadcast follows the terms in use."""
+
+    def __init__(self, matrix: np.ndarray):
+        some = np.flatnonzero(matrix.any(axis=1))
+        self.place = np.zeros(len(matrix), np.int32)
+        self.place[some] = np.arange(1, len(some) + 1)
+        self.rows = np.concatenate([np.zeros((1, matrix.shape[1]), np.float32), matrix[some].astype(np.float32)])
+
+    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
+        return self.rows[self.place[slots]]
+
+
 def _category_term(column):
     """The part of a category that may name a field: behind the source, before the domain."""
     return F.trim(F.lower(F.element_at(F.split(F.split(F.coalesce(column, F.lit("")), r"\|")[0], ":"), -1)))
@@ -249,7 +262,8 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
     sums = _summed(features, frequencies, languages * SLOTS)
     zeros = np.zeros((languages * SLOTS, 1), np.float32)
     seen = np.stack([sums.get(k, zeros)[:, 0] for k in range(1 + count)])
-    shared = context.broadcast(_weights(seen, count))
+    weights = _weights(seen, count)
+    shared = context.broadcast(weights)
 
     def vectors(batch):
         """Normalised weighted term vectors of a batch's documents, as (document, slot, value)."""
@@ -282,16 +296,18 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
         return emit
 
     width = RANK + OVERSAMPLE
-    basis = np.random.default_rng(7).standard_normal((languages * SLOTS, width)).astype(np.float32)
+    basis = np.random.default_rng(7).standard_normal((languages * SLOTS, width)).astype(np.float32) * (weights > 0)[:, None]
     for _ in range(2):
-        found = _summed(features, ranged(context.broadcast(basis)), SLOTS)
+        held = context.broadcast(_Rows(basis))
+        found = _summed(features, ranged(held), SLOTS)
+        held.destroy()
         basis = np.zeros_like(basis)
         for k, image in found.items():
             rows = slice(k * SLOTS, (k + 1) * SLOTS)
             q, _ = np.linalg.qr(image)
             # rotated to the singular vectors within the range
             basis[rows] = q @ np.linalg.svd(q.T @ image)[0]
-    space = context.broadcast(basis[:, :RANK] * shared.value[:, None])
+    space = context.broadcast(_Rows(basis[:, :RANK] * weights[:, None]))
 
     def sentences(batch):
         """(document, language, length, unit vector) of each sentence that has a term with weight."""
