@@ -30,7 +30,7 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_udf(text: pd.Series) -> pd.Series:
     """The canonical form of JSON texts; null for what is no JSON."""
 
@@ -59,7 +59,7 @@ def lower_bound(diffs: np.ndarray, seed: int, resamples: int = RESAMPLES, alpha:
 def bootstrap(seed: int):
     """A grouped aggregate over a column of differences."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def bound(diffs: pd.Series) -> float:
         return lower_bound(diffs.to_numpy(float), seed)
 
