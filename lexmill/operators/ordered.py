@@ -52,3 +52,23 @@ def exclusive_quantile(values: Column, q: float) -> Column:
     at = F.lit(q) * (n + 1)
     low = F.greatest(F.least(F.floor(at), n - 1), F.lit(1)).cast("int")
     return F.element_at(values, low) + (F.element_at(values, low + 1) - F.element_at(values, low)) * (at - low)
+
+
+def as_of(left: DataFrame, right: DataFrame, order: str, value: str, width: int) -> DataFrame:
+    """Left with the value of the last right row at or before its order; of equal ones the highest value.
+
+    Rows meet within buckets of that width of the order column; what a bucket brings along from those before it is the
+    running last over one row for each bucket that has a right row, so no task holds all rows.
+    """
+    bucket = F.floor(F.col(order) / width)
+    steps = right.where(F.col(value).isNotNull()).groupBy(order).agg(F.max(value).alias(value))
+    last = steps.groupBy(bucket.alias("bucket")).agg(F.max_by(value, order).alias("carried"))
+    every = left.select(bucket.alias("bucket")).union(last.select("bucket")).distinct().join(last, "bucket", "left")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select("bucket", F.last("carried", ignorenulls=True).over(before).alias("carried"))
+    names = [c for c in left.columns if c != order]
+    both = left.select(F.col(order), F.struct(*names).alias("row"), F.lit(None).cast(steps.schema[value].dataType).alias(value), F.lit(1).alias("side"))
+    both = both.unionByName(steps.select(F.col(order), F.lit(None).cast(both.schema["row"].dataType).alias("row"), value, F.lit(0).alias("side"))).withColumn("bucket", bucket)
+    within = Window.partitionBy("bucket").orderBy(order, "side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("found", F.last(value, ignorenulls=True).over(within)).where("side = 1")
+    return filled.join(carried, "bucket", "left").select(order, *[F.col(f"row.{c}").alias(c) for c in names], F.coalesce("found", "carried").alias(value))
