@@ -33,6 +33,8 @@ MOST_LABELS = 50_000
 #: Slots for the terms of a language; leading vectors, and further ones for the random range.
 SLOTS, RANK, OVERSAMPLE = 1 << 14, 40, 8
 REFINEMENTS = 2
+#: Documents that are projected at once: few enough for their vectors to stay in the cache.
+SLICE = 200
 #: A sentence counts for the nearest centroid from this cosine, and this much nearer than to the next.
 NEAR, CLEAR = 0.15, 0.02
 #: Share of a text's decided sentences that makes a subject; decided share of all that a text must have.
@@ -279,8 +281,8 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
             width = RANK + OVERSAMPLE
             total = np.zeros((languages * SLOTS, width), np.float32)
             for batch in batches:
-                for low in range(0, batch.num_rows, 1_000):
-                    part = batch.slice(low, 1_000)
+                for low in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(low, SLICE)
                     _, d, s, v = vectors(part)
                     held = basis.value[s]
                     projected = np.zeros((part.num_rows, width), np.float32)
@@ -321,7 +323,10 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
         return weak, doc[new], lang[doc[new]], length, vector / np.maximum(norm, 1e-9)[:, None], norm > 1e-6
 
     def nearest(held, lang, unit):
-        likeness = np.einsum("nk,nsk->ns", unit, held[lang])
+        likeness = np.empty((len(unit), count), np.float32)
+        for k in np.unique(lang):
+            own = lang == k
+            likeness[own] = unit[own] @ held[k].T
         best = likeness.argmax(axis=1)
         top = np.partition(likeness, -2, axis=1)[:, -2:] if count > 1 else np.stack([likeness[:, 0] - 1, likeness[:, 0]], axis=1)
         return best, top[:, 1], top[:, 1] - top[:, 0]
@@ -330,8 +335,8 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
         def emit(batches):
             total = np.zeros((languages * count, RANK), np.float32)
             for batch in batches:
-                for low in range(0, batch.num_rows, 1_000):
-                    made = sentences(batch.slice(low, 1_000))
+                for low in range(0, batch.num_rows, SLICE):
+                    made = sentences(batch.slice(low, SLICE))
                     if made is None:
                         continue
                     weak, doc, lang, _, unit, some = made
@@ -340,7 +345,11 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
                     else:
                         subject, like, clear = nearest(held.value, lang, unit)
                         keep = some & (like > NEAR) & (clear > CLEAR)
-                    np.add.at(total, lang[keep] * count + subject[keep], unit[keep])
+                    key = lang[keep] * count + subject[keep]
+                    order = np.argsort(key, kind="stable")
+                    at = np.flatnonzero(np.diff(key[order], prepend=-1))
+                    if len(at):
+                        total[key[order][at]] += np.add.reduceat(unit[keep][order], at, axis=0)
             yield _emit({0: total})
 
         return emit
@@ -359,8 +368,8 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1_000):
-                part = batch.slice(low, 1_000)
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
                 made = sentences(part)
                 if made is None:
                     continue
