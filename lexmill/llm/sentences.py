@@ -31,7 +31,9 @@ SHAPE_WEIGHT, PIECE_WEIGHT, ACROSS_WEIGHT = 4.0, 3.0, 5.0
 #: Share of a piece's gaps that layout shows to be boundaries: at least so often if it ends sentences, so seldom if not.
 OFTEN, SELDOM = 0.008, 0.0005
 #: Gaps below which a piece's shape counts too; prior from which the mark alone decides pass 0.
-FEW, SURE = 100, 0.95
+FEW, SURE = 1_000, 0.95
+#: Share of its block's width from which a line counts as wrapped; characters from which a number behind a line continues it.
+FULL, LONG_LINE = 0.8, 25
 #: Rounds of expected counts.
 ROUNDS = 2
 #: How much rarer than others a sentence of one piece is.
@@ -146,7 +148,8 @@ def cut(text: str) -> tuple[list[tuple[int, int]], list[Gap]]:
                 before = previous.rstrip()
                 word = line.split(None, 1)[0]
                 step = 1 if _WIDE.search(word) else len(word) + 1
-                wrapped = width <= 120 and len(before) + step > width - (2 if step == 1 else 0)
+                # full enough for a wrapped line, or followed by what hardly begins a unit
+                wrapped = width <= 120 and len(before) + step > FULL * width or word[0].islower() or (word[0].isdigit() and len(before) >= LONG_LINE)
                 ended = bool(_ENDED.search(before))
                 marked = bool(_MARKER.match(line)) and (ended or not wrapped or bool(_MARKER.match(previous)))
                 breaks[first] = (1 if marked else -1, wrapped)
@@ -240,7 +243,7 @@ class Model:
                 return g.prior / (1 - g.prior)
             rare = max(0.0, 1 - float(self.n[l]) / FEW)
             small = -2.0 if g.start_shape[0] == "l" else 0.0
-            return g.prior / (1 - g.prior) * math.exp(self.evidence(l) + rare * self.evidence(s) + self.evidence(r) + small)
+            return g.prior / (1 - g.prior) * math.exp(self.evidence(l) + rare * min(0.0, self.evidence(s)) + self.evidence(r) + small)
         left = self.rate(ll, PIECE_WEIGHT, self.rate(l, SHAPE_WEIGHT, self.rate(s, 2.0, self.base)))
         right = self.rate(rr, PIECE_WEIGHT, self.rate(r, SHAPE_WEIGHT, self.rate(t, 2.0, self.base)))
         left, right = (min(max(p, 1e-4), 1 - 1e-4) for p in (left, right))
