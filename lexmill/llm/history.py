@@ -134,9 +134,16 @@ class HistoryIndex:
             for name, _, _ in old[1:]:
                 merged = merged.unionByName(self.spark.table(name))
             self._write(merged, split=False)
-            for name, path, _ in old:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                drop_path(self.spark, path)
+            kept, self.runs = self.runs, old
+            self.drop()
+            self.runs = kept
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        for name, path, _ in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(self.spark, path)
+        self.runs = []
 
     def windows(self, entries: DataFrame) -> DataFrame:
         """(kind, id, other): for each new entry the history entries at its key."""
@@ -272,6 +279,7 @@ def refused_records(df: DataFrame, id_col: str, batch_col: str, url_col: str, te
         if number != numbers[-1]:
             index.add(records.join(refused.select("id"), "id", "left_anti"))
         release(spark)
+    index.drop()
     if not results:
         return spark.createDataFrame([], "kept long, id long")
     every = results[0]
