@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import stats
-from lexmill.operators import firstwins, ledger
+from lexmill.functions import parse, stats
+from lexmill.functions import text as T
+from lexmill.operators import curation, firstwins, ledger
 from lexmill.plans import grading
 from lexmill.plans import ledger as ledger_plans
+from lexmill.plans import search as search_plans
 from lexmill.plans import tables as table_plans
 from lexmill.session import table
 from lexmill.streaming import tables as streams
@@ -43,7 +45,25 @@ def curate_first_wins(spark, d):
     return firstwins.near_duplicates(table(spark, d, "docs"), "ord", "text").select(F.col("id").alias("ord"), F.col("kept").alias("kept_ord"))
 
 
-QUERIES = {f.__name__: f for f in (stream_events_hourly, stream_latest_reveal, stream_events_ema, paired_lower_bound, curate_first_wins)}
+def text_compatible_answers(spark, d):
+    """tasks' answers in compatibility form and as keys; normal forms have no SQL."""
+    return table(spark, d, "tasks").where("answer is not null").select("task_id", "answer").distinct().select("task_id", T.answer_key(parse.compatibility_udf("answer")).alias("answer_key"))
+
+
+def text_expansions(spark, d):
+    """X11: acronyms with what spells them in front, by record."""
+    found = table(spark, d, "docs").where("text is not null").select("ord", F.explode(parse.expansions_udf("text")).alias("pair"))
+    return found.select("ord", F.substring_index("pair", "=", 1).alias("acronym"), F.expr("substring(pair, locate('=', pair) + 1)").alias("phrase"))
+
+
+def search_snippets(spark, d):
+    """The best hit of each question with the part that fits it."""
+    hits = search_plans.search_bm25_top10(spark, d).where("rank = 1").select("qid", "doc_id")
+    texts = curation.corpus(table(spark, d, "docs")).select("doc_id", "text")
+    return hits.join(texts, "doc_id").join(search_plans._questions(spark, d), "qid").select("qid", "doc_id", parse.snippet_udf("text", "query").alias("snippet"))
+
+
+QUERIES = {f.__name__: f for f in (stream_events_hourly, stream_latest_reveal, stream_events_ema, paired_lower_bound, curate_first_wins, text_compatible_answers, text_expansions, search_snippets)}
 SQL = {
     "stream_events_hourly": table_plans.SQL["events_hourly"],
     "stream_latest_reveal": ledger_plans.SQL["ledger_latest_reveal"],

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import stats
+from lexmill.functions import parse, stats
 from lexmill.functions import text as T
 from lexmill.operators import curation, firstwins, ledger, ordered, search
 from lexmill.sources import files
@@ -126,3 +126,16 @@ def test_file_sources(spark, tmp_path):
     (weights / "m.bin").write_bytes(struct.pack("<Q", len(header)) + header + b"\0" * 8)
     (weights / "broken.bin").write_bytes(b"\1")
     assert [(r.name, r.shape) for r in files.tensor_headers(spark, str(weights)).collect()] == [("w", [2])]
+
+
+def test_grammars():
+    call = '<tool_call>{"name": "search", "arguments": {"q": "a"}}</tool_call>'
+    assert parse.parse_turn("<think>x</think>" + call + "<tool_call>{bad</tool_call>") == {"action": "search", "content": '{"q":"a"}'}
+    assert parse.parse_turn(call + "<answer> 7 ") == {"action": "answer", "content": "7"}
+    assert parse.parse_turn("<think><answer>no</answer></think>") is None and parse.parse_turn(None) is None
+    assert parse.expansions("the bone mineral density (BMD) and unrelated words (XYZ)") == ["BMD=bone mineral density"]
+    assert parse.expansions(None) == []
+    raw = "'''Bold''' {{box|{{x}}}}[[Page|label]]<ref>no</ref>\n== Head ==\n{| a\n| [[b|c]]\n|}end <!-- x -->"
+    assert parse.wiki_text(raw) == "Bold label\nHead\nend"
+    assert parse.wiki_text("") == "" and parse.wiki_text(None) is None and parse.wiki_text("{{open") == ""
+    assert parse.snippet("a b c naïve d e", "Naive", 2) == "…c naïve…" and parse.snippet("", "x") == "" and parse.snippet(None, "x") is None
