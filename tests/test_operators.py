@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import json
 import struct
+import unicodedata
 
 import numpy as np
 import pytest
@@ -52,6 +54,21 @@ def test_exclusion_precedence_and_empty(spark):
     assert curation.excluded(new, old.limit(0)).count() == 0
 
 
+def test_fold_covers_all_scripts(spark):
+    def brute(text):
+        text = unicodedata.normalize("NFKD", html.unescape(text))
+        return "".join(x for ch in text if not unicodedata.combining(ch) for x in ch.casefold() if x.isalnum())
+
+    plain = ["Стабильный Ёж 2018", "نشت حافظه 2018", "मस्तिष्क 2018", "東京の地震 2018", "ｶﾞｽ", "한국어", "Straße İzmir ŉ ᾳ", "&#x3b1;-Helix &amp; x", ""]
+    keys = _values(spark, T.fold_key, [*plain, None])
+    assert keys == [*map(brute, plain), None] and len(set(keys)) == len(keys)
+    assert _values(spark, T.fold_key, ["i Citrus bergamia /i", "<i>Citrus</i> bergamia", "Citrus Bérgamia"]) == ["citrusbergamia"] * 3
+    text = "Изменение климата и лес. " * 20
+    new = spark.createDataFrame([(1, "a", None, "Новое 2018", text.upper(), None), (2, "b", None, "東京 2018", "z", None), (3, "c", None, "ЛЕС 2018", "z", None)], DOCS)
+    old = spark.createDataFrame([(9, "x", None, "Лес 2018", "z", None), (8, "y", None, "نشت 2018", text, None)], DOCS)
+    assert {(r.ord, r.reason) for r in curation.excluded(new, old).collect()} == {(1, "abstract"), (3, "title")}
+
+
 def test_search_ties_masks_and_pruning(spark):
     corpus = spark.createDataFrame([("b", "", "alpha beta"), ("a", "", "alpha beta"), ("c", "", "gamma"), ("d", "", "delta"), ("e", "", ""), ("f", "", "eps")], "doc_id string, title string, text string")
     asked = spark.createDataFrame([(1, "alpha?"), (2, "zeta"), (3, "")], "qid int, query string")
