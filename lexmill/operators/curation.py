@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
@@ -38,36 +38,66 @@ def accepted(docs: DataFrame, limit: int) -> DataFrame:
     return kept.orderBy("ord").limit(limit).select("ord")
 
 
+def _keys(df: DataFrame, least_key: int, edge: int) -> DataFrame:
+    """(ord, paper, rank, reason, key) for the six keys of each record; a first paragraph that repeats the title is no part of the abstract."""
+    head, parts = T.fold_key(F.col("title")), F.split("text", "\n\n", 2)
+    read = df.select("ord", "doc_id", "url", head.alias("head"), T.fold_key(F.col("text")).alias("whole"), T.fold_key(F.when(F.size(parts) == 2, parts[0])).alias("first"))
+    titled = (F.col("first") != "") & (F.col("first") == F.col("head"))
+    folded = F.when(titled, F.expr("substring(whole, length(first) + 1)")).otherwise(F.col("whole"))
+    read = read.select("*", F.when(F.length(folded) >= least_key, folded).alias("body"))
+    made = F.array(*(
+        F.struct(F.lit(k + 1).alias("rank"), F.lit(reason).alias("reason"), key.alias("key"))
+        for k, (reason, key) in enumerate({
+            "doc_id": F.col("doc_id"), "identifier": T.identifier(F.col("url")), "title": F.nullif(F.col("head"), F.lit("")), "abstract": F.sha2("body", 256),
+            "abstract_start": F.sha2(F.substring("body", 1, edge), 256), "abstract_end": F.sha2(F.expr(f"right(body, {edge})"), 256),
+        }.items())
+    ))
+    # records with one content id are one paper, however often it was received
+    paper = F.coalesce(F.col("doc_id").cast("string"), F.col("ord").cast("string")).alias("paper")
+    return read.select("ord", paper, F.explode(made).alias("k")).select("ord", "paper", "k.*").where("key is not null")
+
+
+def matches(source: DataFrame, held_out: DataFrame, least_key: int = 200, edge: int = 160) -> DataFrame:
+    """(ord, paper, rank, reason, key, held_ord): the keys of source that held-out records have; an edge only if one held-out paper alone has it.
+
+    Keys are made on both sides, stacked as (rank, key) and joined once; the held-out side is made distinct first, so a hot key does not multiply rows.
+    """
+    held = _keys(held_out, least_key, edge).groupBy("rank", "key").agg(F.min("ord").alias("held_ord"), (F.min("paper") == F.max("paper")).alias("sole"))
+    return _keys(source, least_key, edge).join(held.where("rank <= 4 or sole").drop("sole"), ["rank", "key"])
+
+
+def reasons(matched: DataFrame) -> DataFrame:
+    """(ord, rank, reason, key, held_ord) from matches: the first of the first four keys for the records that have one; for the others, each
+    edge that one paper alone of these others has."""
+    basic, edges = F.min(F.when(F.col("rank") <= 4, F.struct("rank", "reason", "key", "held_ord"))), F.collect_list(F.when(F.col("rank") > 4, F.struct("rank", "reason", "key", "held_ord")))
+    by_record = matched.groupBy("ord", "paper").agg(basic.alias("basic"), edges.alias("edges"))
+    # a record with a basic reason stands alone behind its number, so that it takes no part in the count of edges
+    own = F.when(F.col("basic").isNotNull(), F.array("basic")).otherwise(F.col("edges"))
+    rows = by_record.select("ord", "paper", F.when(F.col("basic").isNotNull(), F.col("ord")).alias("apart"), F.inline(own))
+    same = Window.partitionBy("rank", "key", "apart")
+    return rows.withColumn("sole", F.min("paper").over(same) == F.max("paper").over(same)).where("sole").select("ord", "rank", "reason", "key", "held_ord")
+
+
+def _first_reason(found: DataFrame) -> DataFrame:
+    return found.groupBy("ord").agg(F.min(F.struct("rank", "reason")).alias("first")).select("ord", "first.reason")
+
+
 def excluded(source: DataFrame, held_out: DataFrame, least_key: int = 200) -> DataFrame:
-    """Records of source that a held-out record matches, with the first reason in order of precedence.
+    """Records of source that a held-out record matches, with the first of six reasons in order of precedence.
 
-    source and held_out: (ord, doc_id, url, title, text). Keys are made on both sides, stacked as (kind, key) and joined once;
-    the held-out side is made distinct first, so a hot key does not multiply rows.
+    source and held_out: (ord, doc_id, url, title, text).
     """
+    return _first_reason(reasons(matches(source, held_out, least_key)))
 
-    def keys(df: DataFrame) -> DataFrame:
-        folded = T.fold_key(F.col("text"))
-        made = F.array(
-            F.struct(F.lit(1).alias("rank"), F.lit("doc_id").alias("reason"), F.col("doc_id").alias("key")),
-            F.struct(F.lit(2).alias("rank"), F.lit("identifier").alias("reason"), T.identifier(F.col("url")).alias("key")),
-            F.struct(F.lit(3).alias("rank"), F.lit("title").alias("reason"), F.nullif(T.fold_key(F.col("title")), F.lit("")).alias("key")),
-            F.struct(F.lit(4).alias("rank"), F.lit("abstract").alias("reason"), F.when(F.length(folded) >= least_key, F.sha2(folded, 256)).alias("key")),
-        )
-        return df.select("ord", F.explode(made).alias("k")).select("ord", "k.*").where("key is not null")
 
-    matched = keys(source).join(keys(held_out).select("rank", "key").distinct(), ["rank", "key"])
-    return matched.groupBy("ord").agg(F.min(F.struct("rank", "reason")).alias("first")).select("ord", "first.reason")
+def survivors(kept: DataFrame, source: DataFrame, held_out: DataFrame) -> DataFrame:
+    """Records of kept that still have one of the six reasons; edges are counted over source, as they were for the exclusion."""
+    again, edges = matches(kept, held_out), reasons(matches(source, held_out)).where("rank > 4").select("rank", "key").distinct()
+    return _first_reason(again.where("rank <= 4").select("ord", "rank", "reason").union(again.where("rank > 4").join(edges, ["rank", "key"], "left_semi").select("ord", "rank", "reason")))
 
 
 def unique_edges(source: DataFrame, held_out: DataFrame, edge: int = 160) -> DataFrame:
-    """Pairs that share the first or last folded characters, where that edge occurs once on either side."""
-
-    def edges(df: DataFrame) -> DataFrame:
-        folded = T.fold_key(F.col("text"))
-        made = df.select("ord", folded.alias("folded")).where(F.length("folded") >= edge).select("ord", F.explode(F.array(
-            F.struct(F.lit("start").alias("side"), F.sha2(F.substring("folded", 1, edge), 256).alias("part")),
-            F.struct(F.lit("end").alias("side"), F.sha2(F.expr(f"right(folded, {edge})"), 256).alias("part")),
-        )).alias("e")).select("ord", "e.*")
-        return made.groupBy("side", "part").agg(F.min("ord").alias("ord"), F.count("*").alias("n")).where("n = 1").drop("n")
-
-    return edges(source).withColumnRenamed("ord", "source_ord").join(edges(held_out).withColumnRenamed("ord", "held_out_ord"), ["side", "part"]).select("side", "source_ord", "held_out_ord")
+    """Pairs that share the first or last folded characters, where one paper of the held-out records and one of the source records that
+    the first four keys leave have that edge."""
+    found = reasons(matches(source, held_out, edge=edge)).where("rank > 4")
+    return found.select(F.when(F.col("rank") == 5, "start").otherwise("end").alias("side"), F.col("ord").alias("source_ord"), F.col("held_ord").alias("held_out_ord"))

@@ -47,17 +47,17 @@ def curate_identifiers(spark, d):
 
 
 def curate_excluded(spark, d):
-    """Records of the later batches that batch 0 holds already, by four keys."""
+    """Records of the later batches that batch 0 holds already, by six keys."""
     docs = table(spark, d, "docs")
     return curation.excluded(docs.where("batch > 0"), docs.where("batch = 0"))
 
 
 def curate_disjoint(spark, d):
-    """What the exclusion leaves shares no key with batch 0: survivors by reason, none if it holds."""
+    """What the exclusion leaves shares none of the six keys with batch 0: survivors by reason, none if it holds."""
     docs = table(spark, d, "docs")
     old, new = docs.where("batch = 0"), docs.where("batch > 0")
     kept = new.join(curation.excluded(new, old).select("ord"), "ord", "left_anti")
-    return curation.excluded(kept, old).groupBy("reason").agg(F.count("*").alias("n"))
+    return curation.survivors(kept, new, old).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def curate_unique_edges(spark, d):

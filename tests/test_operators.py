@@ -69,6 +69,27 @@ def test_fold_covers_all_scripts(spark):
     assert {(r.ord, r.reason) for r in curation.excluded(new, old).collect()} == {(1, "abstract"), (3, "title")}
 
 
+def test_exclusion_by_edges(spark):
+    start, end = ("Über den Wald und das Wasser " * 9)[:250], ("в конце этого текста " * 15)[:250]
+    middle = [f"only in {w} " * 12 for w in ("one", "two", "three", "four", "five", "six", "seven", "eight")]
+    old = [
+        (90, "o1", None, "Held 1", start + middle[0], None), (91, "o2", None, "Held 2", middle[1] * 2 + end, None), (92, "o2", None, "Held 2", middle[1] * 2 + end, None),
+        (93, "o3", None, "Held 3", "common opening " * 20 + middle[2], None), (94, "o4", None, "Held 4", "common opening " * 20 + middle[3], None),
+        (95, "o5", None, "Held 5", "Held 5\n\n" + middle[6] * 3, None),
+    ]
+    new = [
+        (1, "n1", None, "New 1", start + middle[4], None), (2, "o1", None, "Held 1", start + middle[0], None),  # 2 goes by its id, so 1 alone has the opening
+        (3, "n3", None, "New 3", middle[5] * 2 + end, None), (4, "n4", None, "New 4", "common opening " * 20 + middle[7], None),
+        (5, "n5", None, "New 5", "New 5\n\n" + middle[6] * 3, None), (6, "n6", None, "New 6", "z", None),
+    ]
+    new, old = spark.createDataFrame(new, DOCS), spark.createDataFrame(old, DOCS)
+    gone = curation.excluded(new, old)
+    assert {(r.ord, r.reason) for r in gone.collect()} == {(1, "abstract_start"), (2, "doc_id"), (3, "abstract_end"), (5, "abstract")}
+    assert {tuple(r) for r in curation.unique_edges(new, old).collect()} == {("start", 1, 90), ("end", 3, 91)}
+    assert curation.survivors(new.join(gone, "ord", "left_anti"), new, old).count() == 0
+    assert {(r.ord, r.reason) for r in curation.survivors(new.where("ord < 4"), new, old).collect()} == {(1, "abstract_start"), (2, "doc_id"), (3, "abstract_end")}
+
+
 def test_search_ties_masks_and_pruning(spark):
     corpus = spark.createDataFrame([("b", "", "alpha beta"), ("a", "", "alpha beta"), ("c", "", "gamma"), ("d", "", "delta"), ("e", "", ""), ("f", "", "eps")], "doc_id string, title string, text string")
     asked = spark.createDataFrame([(1, "alpha?"), (2, "zeta"), (3, "")], "qid int, query string")
