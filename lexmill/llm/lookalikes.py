@@ -30,11 +30,33 @@ a:аɑ c:сϲ d:ԁ e:еҽ g:ɡց h:һհ i:іι j:јϳ l:ӏ n:ո o:оοօ p:рρ
 A:АΑ B:ВΒ C:СϹ E:ЕΕ G:Ԍ H:НΗ I:ІΙӀ J:Ј K:КΚ L:Լ M:МΜ N:Ν O:ОΟՕ P:РΡ Q:Ԛ S:ЅՏ T:ТΤ U:Ս V:Ѵ W:Ԝ X:ХΧ Y:УΥҮ Z:Ζ
 """
 
-_LATIN_OF = {c: pair[0] for pair in LOOKALIKES.split() for c in pair[2:]}
+# The single letters of all other scripts that the Unicode confusables (ICU 77) give a Latin letter, without Greek
+# letters (symbols) and compatibility forms (their own rule). No text of ours is written in these scripts.
+RARE_LOOKALIKES = """
+b:ЬᏏᑲᖯ c:ꮯⲥ𐐽 d:Ꮷᑯꓒ f:ք h:Ꮒ i:ꙇᎥꭵ𑣃 l:ᛁⵏꓲ𐊊𐌉𖼨 m:𑜀 n:ռ o:ⲟ𐐬𐓪𑣈𑣗 p:ⲣ q:զ r:ᴦгꮁⲅ s:ꮪ𐑈𑣁 u:𐓶𑣘 v:ꮩ𑜆𑣀 w:աꮃ𑜊𑜎𑜏 x:ᕁᕽ y:𑣜 z:ꮓ𑣄 A:Ꭺᗅꓮ𐊠𖽀 B:Ᏼᗷꓐ𐊂𐊡𐌁 C:ᏟⲤꓚ𐊢𐌂𐐕𐔜 D:Ꭰᗞᗪꓓ
+E:Ꭼⴹꓰ𐊆𑢦𑢮 F:ᖴꓝ𐊇𐊥𐔥𑢢𑣂 G:ᏀᏳꓖ H:ᎻᕼⲎꓧ𐋏 I:ᛁⲒⵏꓲ𐊊𐌉𖼨 J:Ꭻᒍꓙ K:ᏦᛕⲔꓗ𐔘 L:ᏞᒪⳐꓡ𐐛𐔦𑢣𑢲𖼖 M:ᎷᗰᛖⲘꓟ𐊰𐌑 N:Ⲛꓠ𐔓 O:Ⲟⵔꓳ𐊒𐊫𐐄𐓂𐔖𑢵 P:ᏢᑭⲢꓑ𐊕 Q:ⵕ R:ᎡᏒᖇꓣ𐒴𖼵 S:ᏕᏚꓢ𐊖𐐠𖼺 T:ᎢⲦꓔ𐊗𐊱𐌕𑢼𖼊 U:ᑌꓴ𐓎𑢸𖽂
+V:Ꮩᐯⴸꓦꛟ𐔝𑢠𖼈 W:ᎳᏔꓪ X:ᚷⲬⵝꓫ𐊐𐊴𐌗𐔧 Y:ᎩᎽⲨꓬ𐊲𑢤𖽃 Z:Ꮓꓜ𑢩
+"""
+# The same for scripts in which whole texts are written: such a letter is foreign only among Latin letters, away from its own script.
+LIVING_LOOKALIKES = """
+l:וןاߊ o:סهھہەഠဝჿ v:ט y:ყ I:וןاߊ O:ଠዐ U:ሀ
+"""
+
+
+def _pairs(table: str) -> list[tuple[str, str]]:
+    return [(c, pair[0]) for pair in table.split() for c in pair[2:]]
+
+
+_RARE, _LIVING = frozenset(c for c, _ in _pairs(RARE_LOOKALIKES)), frozenset(c for c, _ in _pairs(LIVING_LOOKALIKES))
+_LATIN_OF = dict(_pairs(RARE_LOOKALIKES + LOOKALIKES))
 _CLASS_OF = {c: pair[0] + pair[2:] for pair in LOOKALIKES.split() for c in pair[0] + pair[2:]}
 _PHONETIC = "ɑɡ"
 #: Letters that a Russian writer would use: the aim of Latin letters in a Cyrillic word.
 _CYRILLIC_OF = {pair[0]: c for pair in LOOKALIKES.split() for c in pair[2:] if "А" <= c <= "я"}
+_CYRILLIC_OF |= {c: _CYRILLIC_OF[a] for c, a in _pairs(RARE_LOOKALIKES) if a in _CYRILLIC_OF}
+# rare letters are left for Latin ones, or Cyrillic ones beside Cyrillic, never put in their place
+for _c, _a in _pairs(RARE_LOOKALIKES + LIVING_LOOKALIKES):
+    _CLASS_OF[_c] = _CLASS_OF.get(_c, _c) + _a
 
 
 def _ranges(*pairs: tuple[int, int]) -> str:
@@ -78,7 +100,7 @@ def _odd() -> re.Pattern:
 
 _IGNORED_RUN = re.compile(f"[{_IGNORED}]+")
 _NON_LATIN = "".join(c for c in _LATIN_OF)
-_WORTH = re.compile(f"[{_NON_LATIN}]")
+_WORTH = re.compile(f"[{''.join(c for c in _NON_LATIN if c < chr(0x10000))}]|[\U00010000-\U0010ffff]|[A-Za-z][{''.join(sorted(_LIVING))}]|[{''.join(sorted(_LIVING))}][A-Za-z]")
 _LETTER_RUN = re.compile(r"[^\s]+")
 
 
@@ -126,6 +148,8 @@ def script(c: str) -> str:
         return "Cyrillic"
     if "԰" <= c <= "֏":
         return "Armenian"
+    if c in _RARE:
+        return "rare"
     return "other" if c.isalpha() else ""
 
 
@@ -165,8 +189,13 @@ class Consistent:
     def search(self, word: str, context: str) -> str:
         """Viterbi over the lattice of the word's look-alikes; the state is the last two characters."""
         states: dict[tuple[str, str], tuple[float, str]] = {(" ", " "): (0.0, "")}
-        for c in word:
+        cyrillic = context == "Cyrillic" or any(map("Cyrillic".__eq__, map(script, word)))
+        for i, c in enumerate(word):
             options = _CLASS_OF.get(c, c)
+            if cyrillic and c in _RARE:
+                options += _CYRILLIC_OF.get(c, "")
+            if c in _LIVING and (context == "own" or "other" in (script(word[i - 1 : i] or " "), script(word[i + 1 : i + 2] or " "))):
+                options = c
             following: dict[tuple[str, str], tuple[float, str]] = {}
             for (a, b), (score, path) in states.items():
                 before = script(b)
@@ -197,6 +226,7 @@ class Consistent:
         def script_at(i: int) -> str:
             if i not in scripts:
                 kinds = {s for s in map(script, words[i]) if s}
+                kinds -= {"rare"} if kinds == {"rare", "other"} else set()  # a word of that script itself
                 scripts[i] = kinds.pop() if len(kinds) == 1 else ("mixed" if kinds else "")
             return scripts[i]
 
@@ -216,7 +246,7 @@ class Consistent:
                         j += step
                     if 0 <= j < len(words):
                         near.add(script_at(j))
-                near -= {"mixed"}
+                near -= {"mixed", "rare"}
                 if len(near) != 1 or own in near:
                     continue
                 context = near.pop()
@@ -225,6 +255,8 @@ class Consistent:
                     continue
             elif not any(c in _CLASS_OF for c in word):
                 continue
+            elif any(c in _LIVING for c in word) and "other" in (script_at(i - 1) if i else "", script_at(i + 1) if i + 1 < len(words) else ""):
+                context = "own"
             key = (word, context)
             held = self.words.get(key)
             if held is None:

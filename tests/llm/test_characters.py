@@ -31,6 +31,15 @@ def test_lattices_keep_symbols_and_scripts(spark, repairer):
         assert forms.form(kept) == kept
 
 
+def test_lattices_cover_rare_scripts(repairer):
+    forms = lookalikes.Consistent(repairer.model)
+    words = {"Ꭺmong": "Among", "Ꭺbb.": "Abb.", "Ꮃe": "We", "Ꮃhether": "Whether", "Ꭺmbrell": "Ambrell", "Ꭺrrɑy": "Array", "Ꮃexӏund": "Wexlund", "ꓮmong": "Among", "ⲟther": "other", "mჿdel": "model", "mഠdel": "model", "sהare": "sהare"}
+    assert {w: forms.form(w) for w in words} == words
+    assert forms.form("the ⲟther mоdel of Ꭺ share") == "the other model of A share"
+    for kept in ("ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "برنامه DNAها نشت", "ها DNAه ها", "𐐄 😀"):
+        assert forms.form(kept) == kept
+
+
 @pytest.mark.parametrize(("read", "written"), [("cp1252", "utf-8"), ("mac_roman", "utf-8"), ("cp850", "utf-8"), ("cp1251", "utf-8"), ("mac_roman", "cp1252")])
 def test_encoding_round_trip(repairer, read, written):
     text = "Öhlen schrieb über die Region Övrehed für Brévane und Kärsund, während Sollén in Korvéni war."
