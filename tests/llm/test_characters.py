@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from lexmill.llm import consistent, encoding, lookalikes
@@ -50,6 +51,16 @@ def test_encoding_round_trip(repairer, read, written):
         assert restored == text
 
 
+def test_margins_read_all_held_out_words(spark):
+    held = spark.range(200_000).where("pmod(xxhash64(id), 50) = 0").selectExpr("id", "concat('kälta', char(97 + id % 26)) as text", "concat('kõrs', char(97 + id % 26), char(97 + id % 23)) as title")
+    learned = spark.range(200_000).where("pmod(xxhash64(id), 50) > 40 and id < 9000").selectExpr("id", "concat('kőrs', char(97 + id % 26), char(97 + id % 23)) as text", "cast(null as string) as title")
+    df = held.union(learned)
+    one, other = (encoding.fit(df, "id", fields) for fields in (["text", "title"], ["title", "text"]))
+    words = [w for (w,) in held.selectExpr("explode(array(text, title)) as w").distinct().collect()]
+    gains = [best[1][1] for best in one.gains(words) if np.isfinite(best[1][1])]
+    assert one.margins == other.margins and one.margins[1] == pytest.approx(np.quantile(gains, 0.99), abs=0.01) and one.margins[1] > 4.5
+
+
 def test_twice_damaged_lost_and_empty(repairer):
     text = "Kärsund und Brévane"
     twice = text
