@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lexmill.functions import parse
 from lexmill.functions import text as T
 from lexmill.operators import curation, search
 from lexmill.session import table
@@ -106,9 +108,15 @@ def text_last_action(spark, d):
 
 
 def text_chunks(spark, d):
-    """Pieces of at most 3,500 characters for each document: how many, and the last one's length."""
-    n = F.length("text")
-    return table(spark, d, "documents").where(n > 0).select("doc_id", F.ceil(n / 3500).cast("long").alias("chunks"), ((n - 1) % 3500 + 1).cast("long").alias("last_chars"))
+    """The pieces of each document, paragraphs packed in order into at most 3,500 characters."""
+
+    def cut(batches):
+        for batch in batches:
+            rows = [(i, k, piece) for i, text in zip(*(c.to_pylist() for c in batch.columns)) for k, piece in enumerate(parse.chunks(text, 3500))]
+            ids, places, pieces = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(pieces, pa.string())], names=["doc_id", "place", "chunk"])
+
+    return table(spark, d, "documents").where("text is not null").select("doc_id", "text").mapInArrow(cut, "doc_id long, place int, chunk string")
 
 
 def text_number_aliases(spark, d):

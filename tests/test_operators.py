@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import parse, stats
 from lexmill.functions import text as T
 from lexmill.operators import curation, firstwins, ledger, ordered, search
+from lexmill.plans import features
 from lexmill.sources import files
 
 
@@ -90,6 +91,18 @@ def test_exclusion_by_edges(spark):
     assert {(r.ord, r.reason) for r in curation.survivors(new.where("ord < 4"), new, old).collect()} == {(1, "abstract_start"), (2, "doc_id"), (3, "abstract_end")}
 
 
+def test_chunks_of_paragraphs(spark, tmp_path):
+    a, b, c, monster = "a" * 2000, "б" * 1499, "c" * 1500, "m" * 8000
+    texts = {1: f"{a}\n\n{b}", 2: f"{a}\n{b}x\n{c}", 3: f"{a}\n{monster}\n \n{c}", 4: " \n", 5: "", 6: "short", 7: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in sorted(features.text_chunks(spark, str(tmp_path)).collect()):
+        assert r.place == len(found.setdefault(r.doc_id, []))
+        found[r.doc_id].append(r.chunk)
+    # a line end counts with each line, so 2000 and 1499 do not fit
+    assert found == {1: [a, b], 2: [a, f"{b}x\n{c}"], 3: [a, "m" * 3500, "m" * 3500, "m" * 1000, c], 4: [" \n"], 5: [""], 6: ["short"]}
+
+
 def test_search_ties_masks_and_pruning(spark):
     corpus = spark.createDataFrame([("b", "", "alpha beta"), ("a", "", "alpha beta"), ("c", "", "gamma"), ("d", "", "delta"), ("e", "", ""), ("f", "", "eps")], "doc_id string, title string, text string")
     asked = spark.createDataFrame([(1, "alpha?"), (2, "zeta"), (3, "")], "qid int, query string")
