@@ -74,10 +74,11 @@ def index_query_key(spark, d):
 
 
 def index_overlay_score(spark, d):
-    """A5: how often the words of a question's last three stand in the documents as they are, over all occurrences."""
-    words = _questions(spark, d).select("qid", F.explode(F.slice(F.reverse(T.tokens(F.col("query"))), 1, 3)).alias("term"))
-    tf = search.postings(_corpus(spark, d)).groupBy("term").agg(F.sum("tf").alias("tf"))
-    return words.join(tf, "term").groupBy("qid").agg(F.sum("tf").alias("score"))
+    """A5: the ten best hits for every question: batch 0 is the base, the records that came later lie over it."""
+    docs = table(spark, d, "docs")
+    base = curation.corpus(docs.where("batch = 0"))
+    later = curation.corpus(docs.where("batch > 0")).join(base.select("doc_id"), "doc_id", "left_anti")
+    return search.overlay(base, later, _questions(spark, d), 10)
 
 
 QUERIES = {f.__name__: f for f in (search_bm25_top10, search_masked_top5, search_evidence_rank, index_document_frequency, index_df_histogram, index_pruned_query_terms, index_all_title_terms, index_title_only, index_query_key, index_overlay_score)}

@@ -113,6 +113,22 @@ def test_search_ties_masks_and_pruning(spark):
     assert search.bm25(corpus.limit(0), asked, 5).count() == 0
 
 
+def test_overlay_scores_all_terms(spark):
+    base = spark.createDataFrame([("base", "", "alpha rare"), *((f"z{i}", "", f"other{i}") for i in range(4))], "doc_id string, title string, text string")
+    texts = {"d1": ("Alphabet", "alpha alphas\nBETA"), "d2": ("x", "beta-gamma gamma"), "d3": ("", "none"), "d4": ("", "ααα 東京東京"), "d5": ("x", "beta-gamma gamma"), **{f"m{i:02}": ("", "aaa " * (i % 4)) for i in range(30)}}
+    docs = spark.createDataFrame([(i, *t) for i, t in texts.items()], "doc_id string, title string, text string").repartition(3)
+    queries = {1: 'Alpha "beta" of one more gamma', 2: "東京 αα", 3: "", 4: "aa aa alpha", 5: "beta"}
+    masks = [(5, "d2"), (5, "nowhere")]
+    frame = search.overlay(base, docs, spark.createDataFrame(list(queries.items()), "qid int, query string"), 5, spark.createDataFrame(masks, "qid int, doc_id string"))
+    got = {q: [(r.doc_id, r.score) for r in frame.where(F.col("qid") == q).orderBy("rank").collect()] for q in queries}
+    known = {q: [x for x in hits if x[0] == "base"] for q, hits in got.items()}
+    for q, query in queries.items():
+        terms = [t.strip('"').lower() for t in query.split()]
+        brute = [(i, float(sum(f"{a}\n{b}".lower().count(t) for t in terms))) for i, (a, b) in texts.items() if (q, i) not in masks]
+        assert got[q] == sorted([x for x in brute if x[1]] + known[q], key=lambda x: (-x[1], x[0]))[:5]
+    assert known[1] and got[1][0] == ("d1", 4.0)
+
+
 def test_ordered_operators(spark):
     df = spark.createDataFrame([("k", 5, 1, "first"), ("k", 5, 2, "tie"), ("k", 4, 0, "old"), ("n", None, 3, "null")], "key string, v int, seq int, name string")
     assert [(r.key, r.name) for r in ordered.latest(df, ["key"], "v", "seq").collect()] == [("k", "first")]
