@@ -94,7 +94,7 @@ def entity_anchors(spark, d):
 
 
 def entity_cross_documents(spark, d):
-    """For each entity the pairs of documents that could be joined by it, counted without making them."""
+    """Not J7, which is not built: for each entity only how many pairs of documents could be joined by it."""
     n = F.col("documents")
     return _entities(spark, d).groupBy("term").agg(F.count("*").alias("documents")).where("documents >= 2").select("term", (n * (n - 1) / 2).cast("long").alias("pairs"))
 
