@@ -24,7 +24,7 @@ def consistent_forms(docs: DataFrame, tasks: DataFrame) -> DataFrame:
     """(tbl, row_key, field, place, form, changed): one row for each value; place counts within aliases, else it is 0."""
     repairer = encoding.fit(docs, "ord", ["text", "title"])
     named = tasks.select(F.explode(F.concat(F.array("answer"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("value")).where("value is not null")
-    more = train(named, encoding.is_clean)
+    more, _ = train(named, encoding.clean_words)
     model = CharModel.joined(repairer.model, more)
     shared = docs.sparkSession.sparkContext.broadcast((repairer.model, repairer.margins, model))
 

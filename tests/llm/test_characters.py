@@ -51,14 +51,48 @@ def test_encoding_round_trip(repairer, read, written):
         assert restored == text
 
 
-def test_margins_read_all_held_out_words(spark):
-    held = spark.range(200_000).where("pmod(xxhash64(id), 50) = 0").selectExpr("id", "concat('kälta', char(97 + id % 26)) as text", "concat('kõrs', char(97 + id % 26), char(97 + id % 23)) as title")
-    learned = spark.range(200_000).where("pmod(xxhash64(id), 50) > 40 and id < 9000").selectExpr("id", "concat('kőrs', char(97 + id % 26), char(97 + id % 23)) as text", "cast(null as string) as title")
-    df = held.union(learned)
-    one, other = (encoding.fit(df, "id", fields) for fields in (["text", "title"], ["title", "text"]))
-    words = [w for (w,) in held.selectExpr("explode(array(text, title)) as w").distinct().collect()]
-    gains = [best[1][1] for best in one.gains(words) if np.isfinite(best[1][1])]
-    assert one.margins == other.margins and one.margins[1] == pytest.approx(np.quantile(gains, 0.99), abs=0.01) and one.margins[1] > 4.5
+def test_margins_count_all_words_as_if_never_met(spark):
+    df = spark.range(20_000).selectExpr("id", "concat('kälta', char(97 + id % 26)) as text", "concat('kõrs', char(97 + id % 26), char(97 + id % 23)) as title")
+    one, other = (encoding.fit(df.repartition(n), "id", fields) for n, fields in ((3, ["text", "title"]), (9, ["title", "text"])))
+    assert one.margins == pytest.approx(other.margins)
+    _, words = encoding.train(df.selectExpr("explode(array(text, title)) as value"), encoding.clean_words)
+    gains = {0: [], 1: []}
+    for fold, word in words.collect():
+        best = encoding.Repairer(one.model.without(fold), encoding.LEAST_MARGINS).gains([word])[0]
+        for k in (0, 1):
+            if np.isfinite(best[k][1]) and not (k and one.model.times(best[k][0]) >= 1):
+                gains[k].append(max(best[k][1], 0.0))
+    assert sum(map(len, gains.values())) > 300 and len(words.collect()) == 26 + 26 * 23
+    for k, found in gains.items():
+        want = max(encoding.LEAST_MARGINS[k], np.quantile(found, 1 - encoding.PASSING)) if found else encoding.LEAST_MARGINS[k]
+        assert one.margins[k] == pytest.approx(want, abs=0.01)
+
+
+# Ordinary words of ten languages and some names, signs and quotations that look like traces of a wrong encoding.
+CLEAN_WORDS = """
+naïve façade Hôtel Señor Škoda СССР Łódź café résumé fiancée crème brûlée déjà élève théâtre garçon forêt île où noël œuvre cœur français État âge être août maïs haïr ambiguë Zoë Citroën
+größer Straße Mädchen über schön Öl Ärzte Übung fließen weiß heiß Fuß Gefühl können Äpfel Büro natürlich Köln München Österreich Gänse Söhne Brücke Schlüssel Träume Nürnberg Grüße Jäger hätte Hätte HÄTTE
+niño mañana corazón árbol también después español año señal lingüística pingüino rápido público número músico débil fácil túnel inglés país aquí Ángel Núñez Muñoz razón canción educación
+coração não ação pão mãe irmã avó avô você português são três água história ciência família João Conceição Gonçalves Simões mês à às até após difícil última próxima órgão bênção questões
+привет мир Россия Москва человек время жизнь день рука год работа слово место лицо друг вопрос дом сторона страна голова ребёнок сила конец система часть город отношение женщина деньги земля машина проблема право решение образ история власть закон война тысяча возможность результат ночь область развитие процесс средство начало форма связь минута вечер качество месяц государство любовь школа общество деятельность программа ДНК США МГУ Пётр чёрный Тёмный щётка объём съезд ЮНЕСКО
+سلام كتاب مدرسة جامعة العربية اللغة القاهرة مسؤول کتاب دانشگاه ایران فارسی می‌روم پژوهش नमस्ते भारत हिन्दी विद्यालय पुस्तक सूर्य 日本語 東京 コンピューター データベース 研究者 病院 中国 北京 经济 历史 数据库 很重要。
+Dvořák Brzeziński Škvorecký Čapek Žižka Kraków Wałęsa Gdańsk Erdős Szabó Győr Björk Ångström Malmö Tromsø København Søren Reykjavík Þór İstanbul Atatürk Çelik Gökçe Đorđe Živković Čačak Brânză București
+α-helix β-lactam γ-ray μm Δt TKNα tknα χ² Ω-3 10µm 37°C ±5 ≤3 ×10 m² CO₂ x̄ “quoted” ‘single’ don’t it’s l’école d’études l’été Müller’s «École» „Größe“ „Spaß“ “É” «США» «ДНК» 50€ §3 ½ ™ ©
+"""
+
+
+def test_clean_words_in_many_languages_stay(spark):
+    repairer = encoding.fit(spark.read.parquet("/root/testdata/sf0.01/docs.parquet"), "ord", ["text", "title"])
+    words = CLEAN_WORDS.split()
+    flagged = [w for w, (affected, _) in zip(words, repairer.repair_all(words)) if affected]
+    assert len(words) > 280 and not flagged
+    assert repairer.repair_all([CLEAN_WORDS]) == [(False, CLEAN_WORDS)]
+
+
+def test_parts_of_a_text_without_spaces(repairer):
+    text = "结果令人意外，血压变化没有受到肾脏功能的影响。"
+    damaged = text[:7] + text[7:].encode("gbk").decode("cp1252", "replace")
+    assert repairer.repair_all([damaged])[0][0] and not repairer.repair_all([text])[0][0]
 
 
 def test_twice_damaged_lost_and_empty(repairer):
@@ -83,6 +117,6 @@ def test_tables_with_nulls_repeats_and_extra_columns(spark, repairer):
 
 
 def test_model_prefers_what_it_saw(spark):
-    model = train(spark.createDataFrame([("abc abd " * 50,), (None,), ("",)], "v string"), lambda t: True)
+    model = train(spark.createDataFrame([("abc abd " * 50,), (None,), ("",)], "v string"), lambda t: (t.split(), []))[0]
     seen, unseen = model.score(["abc", "xqz"])
     assert seen > unseen and len(model.score([])) == 0
