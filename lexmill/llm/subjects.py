@@ -9,7 +9,7 @@
    refined by assigning all sentences and taking the mean of what is assigned clearly.
 5. A record's subjects are those that take about a quarter of its sentences, weighted by length. The category has no say here.
 
-At most MOST_LABELS labelled rows are used, in hash order of their id; everything else covers all rows. Null, empty and term-less
+At most MOST_LABELS labelled rows are used, in hash order of their id; everything else covers all rows. More than MOST_SUBJECTS subjects are an error. Null, empty and term-less
 texts have no subject. Repeated rows get their rows each. Further columns are not read.
 """
 
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,12 @@ from lexmill.llm import encoding
 from lexmill.llm import shingles as S
 from lexmill.storage import materialize
 
-MOST_LABELS = 50_000
+MOST_LABELS, MOST_SUBJECTS = 50_000, 1_000
 #: Slots for the terms of a language; leading vectors, and further ones for the random range.
 SLOTS, RANK, OVERSAMPLE = 1 << 14, 40, 8
 REFINEMENTS = 2
+#: Terms of less than this share of the largest weight are stop words: they have none.
+STOP = 0.001
 #: Documents that are projected at once: few enough for their vectors to stay in the cache.
 SLICE = 200
 #: A sentence counts for the nearest centroid from this cosine, and this much nearer than to the next.
@@ -88,12 +91,11 @@ def readable(text: str) -> str:
         return text.lower()
     if not encoding.is_clean(text):
         for _ in range(encoding.ROUNDS):
-            backs = [b for read in encoding.READ_IN[:8] if (b := encoding._utf8_back(text, read)) is not None]
-            best = min(backs, key=len, default=text)
+            best = encoding.shortest_back(text)
             if len(text) - len(best) < 0.02 * len(text):
                 break
             text = best
-    if len(_HIGH_LATIN.findall(text)) > 0.4 * len(text):  # two-byte text that was read as one-byte text
+    if len(text.encode("utf-8", "surrogatepass")) > 1.4 * len(text) and len(_HIGH_LATIN.findall(text)) > 0.4 * len(text):  # two-byte text that was read as one-byte text
         data = encoding._as_bytes(text, "cp1252")
         backs = [data.decode(e, "ignore") for e in ("gbk", "shift_jis", "euc_jp", "big5", "koi8-r", "cp1251")] if data else []
         text = max([text, *backs], key=lambda b: sum(c in "的一是不了在有我这个和中大为上の、。をにはがとでたвоиаен" for c in b) / max(len(b), 1))
@@ -105,7 +107,6 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     points = np.where(points >= S._TABLE, 0, points)
-    ends = np.cumsum([len(t) + 1 for t in texts])
     alnum, bits, kind, stop, keys, spoken = _tables()
     kinds = kind[points]
     wide = kinds >= 5
@@ -119,7 +120,7 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.flatnonzero(wide[:-1] & wide[1:])
     both = S.mix(bits[points[pairs]] * np.uint64(3) + bits[points[pairs + 1]])
     # the language: script first, function words where scripts are shared
-    doc_of = np.searchsorted(ends, np.arange(len(points)), side="right") if len(texts) > 1 else np.zeros(len(points), np.int64)
+    doc_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
     scripts = np.bincount(doc_of * 8 + kinds, minlength=len(texts) * 8).reshape(len(texts), 8)
     owner = doc_of[starts]
     place = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
@@ -143,7 +144,8 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return language, np.stack([doc_of[at], stopped[at], slot])
 
 
-_FEATURES = "id long, weak int, lang int, sentence array<int>, slot array<int>"
+#: Slots as 16-bit numbers, term by term; the number of terms of each sentence as 32-bit ones.
+_FEATURES = "id long, weak int, lang int, sizes binary, slots binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,22 +153,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low in range(0, batch.num_rows, 200):
             part = batch.slice(low, 200)
             language, (doc, sentence, slot) = _terms([readable(t) for t in part.column(2).to_pylist()])
-            n = np.bincount(doc, minlength=part.num_rows)
-            cuts = np.concatenate([[0], np.cumsum(n)])
-            first = sentence[np.minimum(cuts[:-1], max(len(sentence) - 1, 0))] if len(sentence) else np.zeros(part.num_rows, np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (sentence - first[doc] if len(doc) else sentence, slot)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(language, pa.int32()), *lists], names=["id", "weak", "lang", "sentence", "slot"])
+            first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(sentence, prepend=-1) != 0))
+            blobs = [_blobs(np.diff(np.append(first, len(doc))), np.bincount(doc[first], minlength=part.num_rows), np.uint32), _blobs(slot, np.bincount(doc, minlength=part.num_rows), np.uint16)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(language, pa.int32()), *blobs], names=["id", "weak", "lang", "sizes", "slots"])
+
+
+def _blobs(flat: np.ndarray, counts: np.ndarray, kind: type) -> pa.Array:
+    """Numbers as one binary value a row."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.astype(kind))])
+
+
+def _numbers(blobs: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(flat numbers, how many each row has)."""
+    ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends) // np.dtype(kind).itemsize
 
 
 def _batch(batch: pa.RecordBatch):
-    """(weak, lang, flat text numbers, flat sentence numbers over the batch, flat slots with language) of a batch of features."""
+    """(weak, lang, the text of each term, (the size, the text of each sentence), the slot of each term with its language) of a batch of features."""
     weak, lang = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-    lists = batch.column(4)
-    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-    slot = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sentence = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return weak, lang, doc, sentence, slot + lang[doc].astype(np.int64) * SLOTS
+    slot, terms = _numbers(batch.column(4), np.uint16)
+    sizes, pieces = _numbers(batch.column(3), np.uint32)
+    doc = np.repeat(np.arange(batch.num_rows), terms)
+    return weak, lang, doc, (sizes.astype(np.int64), np.repeat(np.arange(batch.num_rows), pieces)), slot.astype(np.int64) + lang[doc].astype(np.int64) * SLOTS
 
 
 _SUMS = "block int, slots binary, data binary"
@@ -227,7 +237,9 @@ def _category_term(column):
 def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """(ord, subject) for docs (ord, text, category), labels (ord, subject) and subjects (subject)."""
     spark = docs.sparkSession
-    names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().limit(1_000).collect())
+    names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().limit(MOST_SUBJECTS + 1).collect())
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects: a centroid for each is held in memory")
     number = {name: k for k, name in enumerate(names)}
     count = len(names)
     picked = labels.where(F.col("subject").isin(names)).groupBy("ord").agg(F.min("subject").alias("first"), F.count_distinct("subject").alias("n"))
@@ -270,6 +282,8 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
     def vectors(batch):
         """Normalised weighted term vectors of a batch's documents, as (document, slot, value)."""
         _, lang, doc, _, slot = _batch(batch)
+        some = shared.value[slot] > 0
+        doc, slot = doc[some], slot[some]
         keys, n = np.unique(doc * (languages * SLOTS) + slot, return_counts=True)
         d, s = np.divmod(keys, languages * SLOTS)
         value = (1 + np.log(n)) * shared.value[s]
@@ -313,14 +327,18 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
 
     def sentences(batch):
         """(document, language, length, unit vector) of each sentence that has a term with weight."""
-        weak, lang, doc, sentence, slot = _batch(batch)
+        weak, lang, _, (length, doc), slot = _batch(batch)
         if not len(slot):
             return None
-        new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(sentence, prepend=-1) != 0))
-        vector = np.add.reduceat(space.value[slot], new, axis=0)
-        length = np.diff(np.append(new, len(slot)))
-        norm = np.linalg.norm(vector, axis=1)
-        return weak, doc[new], lang[doc[new]], length, vector / np.maximum(norm, 1e-9)[:, None], norm > 1e-6
+        place = space.value.place[slot]
+        some = np.flatnonzero(place)
+        own = np.repeat(np.arange(len(length)), length)[some]
+        new = np.flatnonzero(np.diff(own, prepend=-1))
+        vector = np.zeros((len(length), RANK), np.float32)
+        if len(new):
+            vector[own[new]] = np.add.reduceat(space.value.rows[place[some]], new, axis=0)
+        norm = np.sqrt(np.einsum("ij,ij->i", vector, vector))
+        return weak, doc, lang[doc], length, vector / np.maximum(norm, 1e-9)[:, None], norm > 1e-6
 
     def nearest(held, lang, unit):
         likeness = np.empty((len(unit), count), np.float32)
@@ -335,6 +353,8 @@ def subject_table(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
         def emit(batches):
             total = np.zeros((languages * count, RANK), np.float32)
             for batch in batches:
+                if held is None:  # only what a label or a category speaks for
+                    batch = batch.filter(pc.greater_equal(batch.column(1), 0))
                 for low in range(0, batch.num_rows, SLICE):
                     made = sentences(batch.slice(low, SLICE))
                     if made is None:
@@ -395,4 +415,6 @@ def _weights(seen: np.ndarray, count: int) -> np.ndarray:
     share = by / np.maximum(by.sum(axis=0), 1e-12)
     entropy = -(share * np.log(np.maximum(share, 1e-12))).sum(axis=0) / np.log(max(count, 2))
     trust = met / (met + 3.0)
-    return (np.where(documents >= 2, rarity, 0) * np.maximum(1 - entropy, 0) ** 2 * trust).astype(np.float32)
+    weights = (np.where(documents >= 2, rarity, 0) * np.maximum(1 - entropy, 0) ** 2 * trust).astype(np.float32)
+    weights[weights < STOP * weights.max(initial=0)] = 0
+    return weights
