@@ -1,8 +1,12 @@
 """Sentence boundaries across languages and scripts by a hidden-event n-gram model.
 
 A text is cut into pieces (words; in scripts without spaces, stretches up to an end mark). Between two pieces stands a
-boundary event or none. What layout shows is known: ends of paragraphs, headings, list items and lines of markup; so is
-what lies within a quotation or a bracket. The rest is hidden: gaps behind end marks and at line breaks.
+boundary event or none. What layout shows is known: ends of paragraphs, headings, list items and lines of markup, and spaces
+between Thai words; so is what lies within a quotation or a bracket. The rest is hidden: gaps behind end marks, at line breaks, at
+spaces between letters of scripts that need none, and gaps before anything but a small letter in a block of UNMARKED pieces or more that
+holds no end mark.
+
+Each text is cut once; its gaps go to a table as hashed slots, over which the passes below run as array operations.
 
 Training needs no labels. Pass 0 counts how often each piece ends or begins a known unit: pieces that never do, though they
 are common, are abbreviations or stand within sentences, which shows by itself. The next passes take the events' posteriors
@@ -15,9 +19,9 @@ sentence; repeated rows give repeated sentences; texts of any length are taken w
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.storage import materialize
+
 SLOTS = 1 << 20
 #: Weight of a coarser estimate against counts: pieces against shapes, pairs against pieces, pairs across against the rest.
 SHAPE_WEIGHT, PIECE_WEIGHT, ACROSS_WEIGHT = 4.0, 3.0, 5.0
@@ -34,6 +40,8 @@ OFTEN, SELDOM = 0.008, 0.0005
 FEW, SURE = 1_000, 0.95
 #: Share of its block's width from which a line counts as wrapped; characters from which a number behind a line continues it.
 FULL, LONG_LINE = 0.8, 25
+#: Layout: lines of more characters were not wrapped by hand; pieces from which a block without an end mark is no heading.
+WRAPPED, UNMARKED = 120, 16
 #: Rounds of expected counts.
 ROUNDS = 2
 #: How much rarer than others a sentence of one piece is.
@@ -53,6 +61,7 @@ _PAIR_MARK = re.compile("[\"“”„«»‘’()（）「」『』\\[\\]‹›
 _THAI = re.compile("[฀-๿]")
 _WIDE = re.compile("[぀-ヿ㐀-鿿！-｠]")
 _DIGITS = re.compile(r"\d+")
+_LAST_OF_MARK = frozenset(_ENDS + _CLOSERS)
 
 
 def _inside(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -98,11 +107,11 @@ def _start_shape(piece: str) -> str:
     return f"{case}{opened}"
 
 
-def _prior(piece: str, wrapped: bool) -> float:
+def _prior(piece: str, kind: str) -> float:
     """Before anything is counted: how likely a boundary is by the mark alone."""
     m = _ENDED.search(piece)
     if not m:
-        return 0.05 if wrapped else 0.6
+        return {"w": 0.05, "z": 0.3, "u": 0.02}.get(kind, 0.6)
     mark, closed = m[0].rstrip(_CLOSERS), m[0][-1] in _CLOSERS
     if mark[-1] in "。！？।॥؟۔｡":
         return 0.5 if closed else 0.95
@@ -111,36 +120,42 @@ def _prior(piece: str, wrapped: bool) -> float:
     return 0.5 if closed else 0.85 if mark[-1] in "?!" else 0.7
 
 
-class Gap:
-    """A place where a boundary may stand; event is 1 or 0 where layout shows it, else -1."""
+def _slot(*parts: str) -> int:
+    return zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass")) & (SLOTS - 1)
 
-    __slots__ = ("number", "event", "prior", "single", "left", "left2", "right", "right2", "shape", "start_shape")
 
+#: What the table holds of a gap, as 32-bit numbers: slots of the shape, the piece and the pair before it, of the shape, the piece and
+#: the pair behind it, and of the pair across; end of the piece before, start of the piece behind, prior in millionths, flags.
+_COLUMNS = 11
+_KNOWN, _COUPLED, _SMALL = 1, 2, 4
 
-def cut(text: str) -> tuple[list[tuple[int, int]], list[Gap]]:
-    """The pieces, and the gaps that may be boundaries (by the number of the piece before them)."""
+
+def _layout(text: str) -> tuple[list[tuple[int, int]], dict[int, tuple[int, bool]], list[int]]:
+    """(the pieces; by number of the piece behind a line break: (1 if it ends a unit, else -1; is the line wrapped); numbers of the first pieces of blocks)."""
     pieces: list[tuple[int, int]] = []
-    breaks: dict[int, tuple[int, bool]] = {}  # by number of the piece behind: (event, wrapped)
-    lines = [(m.start(), m.end(), m[0].rstrip("\r\n")) for m in _LINE.finditer(text) if m.end() > m.start()]
-    previous, blank = "", True
+    breaks: dict[int, tuple[int, bool]] = {}
+    blocks: list[int] = []
+    lines = [(m.start(), m[0].rstrip("\r\n")) for m in _LINE.finditer(text) if m.end() > m.start()]
+    previous, blank, alone = "", True, False
     widths: list[int] = []  # of the block of lines that each line stands in
     k = 0
     while k < len(lines):
         j = k
-        while j < len(lines) and lines[j][2].strip():
+        while j < len(lines) and lines[j][1].strip():
             j += 1
-        widths += [max((len(x[2].rstrip()) for x in lines[k:j]), default=0)] * (j - k)
+        widths += [max((len(x[1].rstrip()) for x in lines[k:j]), default=0)] * (j - k)
         if j < len(lines):
             widths.append(0)
         k = j + 1
-    alone = False
-    for (start, _, line), width in zip(lines, widths):
+    for (start, line), width in zip(lines, widths):
         if not line.strip():
             blank, previous, alone = True, "", False
             continue
         first = len(pieces)
-        pieces += [(m.start(), m.end()) for m in _PIECE.finditer(text, start, start + len(line))]
+        pieces += [m.span() for m in _PIECE.finditer(text, start, start + len(line))]
         head = bool(_HEAD.match(line) or _MARKUP.match(line))
+        if blank or head or alone:
+            blocks.append(first)
         if first and first < len(pieces):
             if blank or head or alone:
                 breaks[first] = (1, False)
@@ -149,71 +164,90 @@ def cut(text: str) -> tuple[list[tuple[int, int]], list[Gap]]:
                 word = line.split(None, 1)[0]
                 step = 1 if _WIDE.search(word) else len(word) + 1
                 # full enough for a wrapped line, or followed by what hardly begins a unit
-                wrapped = width <= 120 and len(before) + step > FULL * width or word[0].islower() or (word[0].isdigit() and len(before) >= LONG_LINE)
-                ended = bool(_ENDED.search(before))
-                marked = bool(_MARKER.match(line)) and (ended or not wrapped or bool(_MARKER.match(previous)))
+                wrapped = width <= WRAPPED and len(before) + step > FULL * width or word[0].islower() or (word[0].isdigit() and len(before) >= LONG_LINE)
+                marked = bool(_MARKER.match(line)) and (not wrapped or bool(_ENDED.search(before)) or bool(_MARKER.match(previous)))
                 breaks[first] = (1 if marked else -1, wrapped)
         blank, previous, alone = False, line, head
+    return pieces, breaks, blocks
+
+
+def cut(text: str) -> tuple[int, int, list[int]]:
+    """(start of the first piece, end of the last one, or -1; the numbers of all gaps that may be boundaries, _COLUMNS each)."""
+    pieces, breaks, blocks = _layout(text)
+    count = len(pieces)
+    if not count:
+        return -1, -1, []
+    thai, wide = bool(_THAI.search(text)), bool(_WIDE.search(text))
+    marked = [n for n in range(1, count) if text[pieces[n - 1][1] - 1] in _LAST_OF_MARK]
+    numbers = set(marked).union(breaks)
+    if thai:
+        numbers.update(n for n in range(1, count) if "฀" <= text[pieces[n - 1][1] - 1] <= "๿" or "฀" <= text[pieces[n][0]] <= "๿")
+    if wide:
+        numbers.update(n for n in range(1, count) if pieces[n][0] > pieces[n - 1][1] and _WIDE.match(text[pieces[n - 1][1] - 1]) and _WIDE.match(text[pieces[n][0]]))
+    unmarked: set[int] = set()
+    for low, high in zip(blocks, [*blocks[1:], count]):
+        if high - low >= UNMARKED and not thai and _bare(text, pieces, low, high, marked):
+            begun = low + 1 + bool(_MARKER.match(text, pieces[low][0]))
+            unmarked.update(n for n in range(begun, high) if not text[pieces[n][0]].islower())
+    numbers |= unmarked
     spans: list[tuple[int, int]] = []
     if _PAIR_MARK.search(text):
         low = 0
-        for number in sorted([*(k for k, (event, _) in breaks.items() if event == 1), len(pieces)]):
+        for number in sorted([*(k for k, (event, _) in breaks.items() if event == 1), count]):
             if number > low:
                 spans += _inside(text, pieces[low][0], pieces[number - 1][1])
             low = number
-    gaps, s = [], 0
-    for number in range(1, len(pieces)):
+    out: list[int] = []
+    s, before = 0, -1
+    for number in sorted(numbers):
         (a, b), (c, d) = pieces[number - 1], pieces[number]
         event, wrapped = breaks.get(number, (-2, False))
         piece, after = text[a:b], text[c:d]
+        ended = bool(_ENDED.search(piece))
+        kind = ""
         if event != 1:
             while s < len(spans) and spans[s][1] < b:
                 s += 1
             if s < len(spans) and spans[s][0] < b <= spans[s][1]:
                 continue
-            thai = _THAI.match(text[b - 1]) or _THAI.match(after[0])
-            if thai and c > b:
-                if text[b - 1].isdigit() or after[0].isdigit() or not (_THAI.match(text[b - 1]) or _ENDED.search(piece)):
+            if thai and c > b and (_THAI.match(text[b - 1]) or _THAI.match(after[0])):
+                if text[b - 1].isdigit() or after[0].isdigit() or not (_THAI.match(text[b - 1]) or ended):
                     continue
                 event = 1
             elif event == -2:
-                if not _ENDED.search(piece):
-                    continue
-                if number - 1 in breaks or number == 1:
-                    if _MARKER.match(text, a) and len(piece) <= 4:
+                if not ended:
+                    # an unmarked gap: between wide letters, or in a block without any mark
+                    if number in unmarked:
+                        kind = "u"
+                    elif wide and c > b and _WIDE.match(text[b - 1]) and _WIDE.match(after[0]):
+                        kind = "z"
+                    else:
                         continue
-        gap = Gap()
-        gap.number, gap.event = number, 1 if event == 1 else -1
+                elif (number - 1 in breaks or number == 1) and len(piece) <= 4 and _MARKER.match(text, a):
+                    continue
         # behind an end mark it does not matter whether the line breaks
-        kind = "" if event == -2 or _ENDED.search(piece) else ("w" if wrapped else "n")
-        if _WIDE_END.search(piece) or (kind and _WIDE.match(text[b - 1])):
-            gap.left, gap.left2 = _normal(piece[-3:]), _normal(piece[-6:-3])
-            gap.right, gap.right2 = _normal(after[:2]), _normal(after[2:4])
+        kind = kind or ("" if event == -2 or ended else "w" if wrapped else "n")
+        wide_end = bool(_WIDE_END.search(piece))
+        if wide_end or (kind and _WIDE.match(text[b - 1])):
+            left, left2, right, right2 = piece[-3:], piece[-6:-3], after[:2], after[2:4]
         else:
-            gap.left, gap.left2 = _normal(piece), _normal(text[slice(*pieces[number - 2])]) if number > 1 else "^"
-            gap.right, gap.right2 = _normal(after), _normal(text[slice(*pieces[number + 1])]) if number + 1 < len(pieces) else "$"
-        gap.prior = _prior(piece, wrapped)
-        gap.single = event == -2 and number - 1 not in breaks and not _WIDE_END.search(piece)
-        gap.shape, gap.start_shape = _shape(piece[-8:] if len(piece) > 40 else piece, kind), _start_shape(after[:12])
-        gaps.append(gap)
-    return pieces, gaps
+            left, left2 = piece, text[slice(*pieces[number - 2])] if number > 1 else "^"
+            right, right2 = after, text[slice(*pieces[number + 1])] if number + 1 < count else "$"
+        mark = "" if kind not in ("w", "n", "z", "u") else kind
+        shape, start_shape = _shape(piece[-8:] if len(piece) > 40 else piece, kind), _start_shape(after[:12])
+        left, left2, right, right2 = map(_normal, (left, left2, right, right2))
+        coupled = before == number - 1 and event == -2 and number - 1 not in breaks and not wide_end
+        flags = _KNOWN * (event == 1) | _COUPLED * coupled | _SMALL * (start_shape[0] == "l")
+        out += (_slot("s", shape), _slot("l", mark, left), _slot("ll", mark, left2, left), _slot("t", start_shape), _slot("r", right), _slot("rr", right, right2), _slot("x", mark, left, right))
+        out += (b, c, int(1e6 * _prior(piece, kind)), flags)
+        before = number
+    return pieces[0][0], pieces[-1][1], out
 
 
-def _slot(*parts: str) -> int:
-    return zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass")) & (SLOTS - 1)
-
-
-def _slots(g: Gap) -> tuple[int, ...]:
-    kind = g.shape[0] if g.shape[:1] in ("w", "n") else ""
-    return (
-        _slot("s", g.shape),
-        _slot("l", kind, g.left),
-        _slot("ll", kind, g.left2, g.left),
-        _slot("t", g.start_shape),
-        _slot("r", g.right),
-        _slot("rr", g.right, g.right2),
-        _slot("x", kind, g.left, g.right),
-    )
+def _bare(text: str, pieces: list[tuple[int, int]], low: int, high: int, marked: list[int]) -> bool:
+    """Whether no piece of the block ends with an end mark."""
+    inside = marked[bisect_left(marked, low + 1) : bisect_left(marked, high)]
+    return not any(_ENDED.search(text[slice(*pieces[n - 1])]) for n in [*inside, high])
 
 
 class Model:
@@ -221,124 +255,147 @@ class Model:
 
     def __init__(self, n: np.ndarray, b: np.ndarray, known: bool = False):
         self.n, self.b, self.known = n, b, known
-        self.base = min(max(float(b[_slot("all")]) / max(float(n[_slot("all")]), 1.0), 0.05), 0.95)
+        self.base = min(max(float(b[_ALL]) / max(float(n[_ALL]), 1.0), 0.05), 0.95)
 
-    def rate(self, slot: int, weight: float, coarser: float) -> float:
-        return (float(self.b[slot]) + weight * coarser) / (float(self.n[slot]) + weight)
+    def rate(self, slot: np.ndarray, weight: float, coarser) -> np.ndarray:
+        return (self.b[slot] + weight * coarser) / (self.n[slot] + weight)
 
-    def evidence(self, slot: int) -> float:
+    def evidence(self, slot: np.ndarray) -> np.ndarray:
         """Does layout show boundaries here as often as where sentences end, or as seldom as by chance: a log ratio.
 
         What can end a sentence need not do so, so evidence for it counts little; what never does decides.
         """
-        n, k = float(self.n[slot]), float(self.b[slot])
-        often = min(max(k / n if n else 0.0, OFTEN), 0.9)
-        return min(max(k * math.log(often / SELDOM) + (n - k) * math.log((1 - often) / (1 - SELDOM)), -6.0), 1.0)
+        n, k = self.n[slot].astype(float), self.b[slot].astype(float)
+        often = np.clip(k / np.maximum(n, 1), OFTEN, 0.9)
+        return np.clip(k * np.log(often / SELDOM) + (n - k) * np.log((1 - often) / (1 - SELDOM)), -6.0, 1.0)
 
-    def odds(self, g: Gap) -> float:
-        """The odds that a boundary stands at the gap, by its own pieces."""
-        s, l, ll, t, r, rr, x = _slots(g)
+    def odds(self, gaps: np.ndarray) -> np.ndarray:
+        """The odds that a boundary stands at each gap, by its own pieces."""
+        s, l, ll, t, r, rr, x = gaps[:, :7].T
         if self.known:
-            if g.prior >= SURE:
-                return g.prior / (1 - g.prior)
-            rare = max(0.0, 1 - float(self.n[l]) / FEW)
-            small = -2.0 if g.start_shape[0] == "l" else 0.0
-            return g.prior / (1 - g.prior) * math.exp(self.evidence(l) + rare * min(0.0, self.evidence(s)) + self.evidence(r) + small)
+            prior = gaps[:, 9] / 1e6
+            rare = np.maximum(0.0, 1 - self.n[l] / FEW)
+            small = np.where(gaps[:, 10] & _SMALL, -2.0, 0.0)
+            moved = np.exp(self.evidence(l) + rare * np.minimum(0.0, self.evidence(s)) + self.evidence(r) + small)
+            return prior / (1 - prior) * np.where(prior >= SURE, 1.0, moved)
         left = self.rate(ll, PIECE_WEIGHT, self.rate(l, SHAPE_WEIGHT, self.rate(s, 2.0, self.base)))
         right = self.rate(rr, PIECE_WEIGHT, self.rate(r, SHAPE_WEIGHT, self.rate(t, 2.0, self.base)))
-        left, right = (min(max(p, 1e-4), 1 - 1e-4) for p in (left, right))
+        left, right = np.clip(left, 1e-4, 1 - 1e-4), np.clip(right, 1e-4, 1 - 1e-4)
         odds = left / (1 - left) * right / (1 - right) / (self.base / (1 - self.base))
         p = self.rate(x, ACROSS_WEIGHT, odds / (1 + odds))
-        return min(max(p / max(1 - p, 1e-6), 1e-6), 1e6)
-
-    def posteriors(self, gaps: list[Gap]) -> list[float]:
-        """Forward-backward over the events of a text: two boundaries around a single piece are rare."""
-        if not gaps:
-            return []
-        up, odds = [], [None if g.event == 1 else self.odds(g) for g in gaps]
-        forward = (1.0, 0.0)
-        for k, g in enumerate(gaps):
-            close = ONE_PIECE if k and g.single and g.number - gaps[k - 1].number == 1 else 1.0
-            none, event = forward
-            now = (0.0, none + event) if odds[k] is None else (none + event, (none + event * close) * odds[k])
-            z = now[0] + now[1]
-            forward = (now[0] / z, now[1] / z)
-            up.append(forward)
-        out, back = [0.0] * len(gaps), (1.0, 1.0)
-        for k in range(len(gaps) - 1, -1, -1):
-            p0, p1 = up[k][0] * back[0], up[k][1] * back[1]
-            out[k] = p1 / (p0 + p1)
-            close = ONE_PIECE if k and gaps[k].single and gaps[k].number - gaps[k - 1].number == 1 else 1.0
-            if odds[k] is None:
-                back = (1.0, 1.0)
-            else:
-                none, event = back[0], back[1] * odds[k]
-                back = (none + event, none + event * close)
-                z = back[0] + back[1]
-                back = (back[0] / z, back[1] / z)
+        return np.clip(p / np.maximum(1 - p, 1e-6), 1e-6, 1e6)
+
+    def posteriors(self, gaps: np.ndarray) -> np.ndarray:
+        """Forward-backward over the events of the texts. Gaps without a single piece between them do not depend on each other, so
+        only runs of coupled ones are walked through."""
+        odds, flags = self.odds(gaps), gaps[:, 10]
+        known = (flags & _KNOWN) > 0
+        out = np.where(known, 1.0, odds / (1 + odds))
+        coupled = (flags & _COUPLED) > 0
+        begins = np.flatnonzero(~coupled & np.append(coupled[1:], False))
+        ends = np.flatnonzero(coupled & ~np.append(coupled[1:], False))
+        for low, high in zip(begins, ends + 1):
+            out[low:high] = _run([None if k else o for k, o in zip(known[low:high], odds[low:high].tolist())])
         return out
 
 
-def _count(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+def _run(odds: list[float | None]) -> list[float]:
+    """Forward-backward over a run: two boundaries around a single piece are rare."""
+    up, forward = [], (1.0, 0.0)
+    for k, o in enumerate(odds):
+        close = ONE_PIECE if k else 1.0
+        none, event = forward
+        now = (0.0, none + event) if o is None else (none + event, (none + event * close) * o)
+        z = now[0] + now[1]
+        forward = (now[0] / z, now[1] / z)
+        up.append(forward)
+    out, back = [0.0] * len(odds), (1.0, 1.0)
+    for k in range(len(odds) - 1, -1, -1):
+        p0, p1 = up[k][0] * back[0], up[k][1] * back[1]
+        out[k] = p1 / (p0 + p1)
+        close = ONE_PIECE if k else 1.0
+        if odds[k] is None:
+            back = (1.0, 1.0)
+        else:
+            none, event = back[0], back[1] * odds[k]
+            back = (none + event, none + event * close)
+            z = back[0] + back[1]
+            back = (back[0] / z, back[1] / z)
+    return out
+
+
+_ALL = _slot("all")
+
+
+def gap_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, first, last, gaps): every text that is not blank, cut once and written to the shared folder."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            made = [(key, *cut(text)) for key, text in zip(ids, texts)]
+            made = [(key, first, last, np.array(gaps, np.int32).tobytes()) for key, first, last, gaps in made if first >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["id", "first", "last", "gaps"])
+
+    some = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    return materialize(some.mapInArrow(work, "id long, first int, last int, gaps binary"), "gaps")
+
+
+def _flat(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all gaps of a column, the number of each row's)."""
+    values = blobs.to_pylist()
+    return np.frombuffer(b"".join(values), np.int32).reshape(-1, _COLUMNS), np.array([len(v) // (4 * _COLUMNS) for v in values], np.int64)
+
+
+def _count(table: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     """Sums over all texts: gaps by slot, and boundaries by slot (known, or expected under the shared model)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, b = np.zeros(SLOTS), np.zeros(SLOTS)
-        model = shared.value if shared is not None else None
         for batch in batches:
-            slots: list[int] = []
-            weights: list[float] = []
-            for text in batch.column(0).to_pylist():
-                gaps = cut(text)[1]
-                found = [float(g.event == 1) for g in gaps] if model is None else model.posteriors(gaps)
-                for g, p in zip(gaps, found):
-                    own = _slots(g)
-                    slots += own
-                    slots.append(_slot("all"))
-                    weights += [p] * (len(own) + 1)
-            if slots:
-                n += np.bincount(slots, minlength=SLOTS)
-                b += np.bincount(slots, weights=weights, minlength=SLOTS)
+            gaps, _ = _flat(batch.column(0))
+            found = (gaps[:, 10] & _KNOWN).astype(float) if shared is None else shared.value.posteriors(gaps)
+            for k in range(7):
+                n += np.bincount(gaps[:, k], minlength=SLOTS)
+                b += np.bincount(gaps[:, k], weights=found, minlength=SLOTS)
+            n[_ALL] += len(gaps)
+            b[_ALL] += found.sum()
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(b[some])], names=["slot", "n", "b"])
 
-    rows = texts.mapInArrow(count, "slot int, n double, b double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).toPandas()
+    rows = table.select("gaps").mapInArrow(count, "slot int, n double, b double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).toPandas()
     n, b = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
     n[rows["slot"].to_numpy()], b[rows["slot"].to_numpy()] = rows["n"].to_numpy(), rows["b"].to_numpy()
     return n, b
 
 
-def fit(texts: DataFrame) -> Model:
-    """The training passes over all texts (one column)."""
-    context = texts.sparkSession.sparkContext
-    model = Model(*_count(texts, None), known=True)
+def fit(table: DataFrame) -> Model:
+    """The training passes over the gaps of all texts."""
+    context = table.sparkSession.sparkContext
+    model = Model(*_count(table, None), known=True)
     for _ in range(ROUNDS):
-        model = Model(*_count(texts, context.broadcast(model)))
+        model = Model(*_count(table, context.broadcast(model)))
     return model
 
 
 def sentence_table(df: DataFrame, id_col: str, text_col: str, model: Model | None = None) -> DataFrame:
     """(id, sent_start, sent_end) of each sentence of each text."""
-    some = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    shared = df.sparkSession.sparkContext.broadcast(model or fit(some.select("text")))
+    table = gap_table(df, id_col, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model or fit(table))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, ends = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pieces, gaps = cut(text)
-                if not pieces:
-                    continue
-                begun = 0
-                for g, p in zip(gaps, shared.value.posteriors(gaps)):
-                    if p > 0.5:
-                        ids.append(key)
-                        starts.append(pieces[begun][0])
-                        ends.append(pieces[g.number - 1][1])
-                        begun = g.number
-                ids.append(key)
-                starts.append(pieces[begun][0])
-                ends.append(pieces[-1][1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["id", "sent_start", "sent_end"])
-
-    return some.mapInArrow(decide, "id long, sent_start long, sent_end long")
+            ids, first, last = (batch.column(k).to_numpy() for k in range(3))
+            gaps, counts = _flat(batch.column(3))
+            ended = shared.value.posteriors(gaps) > 0.5
+            owner = np.repeat(np.arange(len(ids)), counts)[ended]
+            sizes = np.bincount(owner, minlength=len(ids)) + 1
+            at = np.cumsum(sizes)
+            starts, ends = np.empty(sizes.sum(), np.int64), np.empty(sizes.sum(), np.int64)
+            begins, closes = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+            begins[at - sizes], closes[at - 1] = True, True
+            starts[begins], starts[~begins] = first, gaps[ended, 8]
+            ends[closes], ends[~closes] = last, gaps[ended, 7]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(starts), pa.array(ends)], names=["id", "sent_start", "sent_end"])
+
+    return table.mapInArrow(decide, "id long, sent_start long, sent_end long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -101,7 +102,7 @@ def test_token_sizes(spark):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return sentences.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text"))
+    return sentences.fit(sentences.gap_table(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text"))
 
 
 def split(spark, model, text):
@@ -128,6 +129,31 @@ def test_layout(spark, model):
     assert split(spark, model, "ในปี 1963 ทีมวิจัย เหตุใดวัคซีน") == ["ในปี 1963 ทีมวิจัย", "เหตุใดวัคซีน"]
 
 
+def test_gaps_without_marks_are_events(spark, model):
+    """Texts without stops, and spaces between Chinese letters: the model decides at gaps that hold no mark."""
+    text = "The effect was limited to the sites of the old survey in Kärsund We compared the reef with the wage gap across the weak cases This was seen in the region again"
+    parts = split(spark, model, text)
+    assert " ".join(parts) == text and len(parts) > 1
+    assert all(not p[0].islower() for p in parts)
+    _, _, gaps = sentences.cut("这是第一句 这是第二句")
+    assert len(gaps) == sentences._COLUMNS
+
+
+def test_runs_of_coupled_gaps_agree_with_all_paths():
+    """Forward-backward against the sum over all event sequences of a run."""
+    odds = [0.7, None, 2.0, 5.0, 0.2]
+    total, weight = 0.0, [0.0] * len(odds)
+    for events in itertools.product((0, 1), repeat=len(odds)):
+        p = 1.0
+        for k, (e, o) in enumerate(zip(events, odds)):
+            p *= (1.0 if o is None else o) if e else (0.0 if o is None else 1.0)
+            if k and e and events[k - 1] and o is not None:
+                p *= sentences.ONE_PIECE
+        total += p
+        weight = [w + p * e for w, e in zip(weight, events)]
+    assert sentences._run(odds) == pytest.approx([w / total for w in weight])
+
+
 def test_sentences_of_odd_texts(spark, model):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "x"), (5, "word " * 60_000), (5, "a. b"), (6, "“open quote. Next one")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
