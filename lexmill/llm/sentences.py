@@ -23,6 +23,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,20 @@ _COLUMNS = 11
 _KNOWN, _COUPLED, _SMALL = 1, 2, 4
 
 
+@lru_cache(1 << 17)
+def _before(kind: str, piece: str, left: str) -> tuple[int, int, str, int]:
+    """Of a piece before a gap: slots of its shape and of itself, itself with digits alike, its prior in millionths."""
+    left = _normal(left)
+    return _slot("s", _shape(piece, kind)), _slot("l", kind, left), left, int(1e6 * _prior(piece, kind))
+
+
+@lru_cache(1 << 17)
+def _behind(start: str, right: str) -> tuple[int, int, str, int]:
+    """Of a piece behind a gap: slots of its shape and of itself, itself with digits alike, whether it begins with a small letter."""
+    shape, right = _start_shape(start), _normal(right)
+    return _slot("t", shape), _slot("r", right), right, _SMALL * (shape[0] == "l")
+
+
 def _layout(text: str) -> tuple[list[tuple[int, int]], dict[int, tuple[int, bool]], list[int]]:
     """(the pieces; by number of the piece behind a line break: (1 if it ends a unit, else -1; is the line wrapped); numbers of the first pieces of blocks)."""
     pieces: list[tuple[int, int]] = []
@@ -233,13 +248,12 @@ def cut(text: str) -> tuple[int, int, list[int]]:
         else:
             left, left2 = piece, text[slice(*pieces[number - 2])] if number > 1 else "^"
             right, right2 = after, text[slice(*pieces[number + 1])] if number + 1 < count else "$"
-        mark = "" if kind not in ("w", "n", "z", "u") else kind
-        shape, start_shape = _shape(piece[-8:] if len(piece) > 40 else piece, kind), _start_shape(after[:12])
-        left, left2, right, right2 = map(_normal, (left, left2, right, right2))
         coupled = before == number - 1 and event == -2 and number - 1 not in breaks and not wide_end
-        flags = _KNOWN * (event == 1) | _COUPLED * coupled | _SMALL * (start_shape[0] == "l")
-        out += (_slot("s", shape), _slot("l", mark, left), _slot("ll", mark, left2, left), _slot("t", start_shape), _slot("r", right), _slot("rr", right, right2), _slot("x", mark, left, right))
-        out += (b, c, int(1e6 * _prior(piece, kind)), flags)
+        shape, own, left, prior = _before(kind, piece if len(piece) <= 40 else piece[-8:], left)
+        start_shape, behind, right, small = _behind(after[:12], right)
+        flags = _KNOWN * (event == 1) | _COUPLED * coupled | small
+        out += (shape, own, _slot("ll", kind, _normal(left2), left), start_shape, behind, _slot("rr", right, _normal(right2)), _slot("x", kind, left, right))
+        out += (b, c, prior, flags)
         before = number
     return pieces[0][0], pieces[-1][1], out
 
