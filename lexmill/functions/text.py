@@ -1,6 +1,6 @@
 """Column expressions over text; all but fold_key stay inside code generation.
 
-Patterns use explicit ASCII classes: Java's and other engines' word boundaries differ beyond them.
+Patterns use explicit classes: Java's and other engines' word boundaries differ beyond ASCII.
 """
 
 from __future__ import annotations
@@ -42,6 +42,21 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks and the letters without, by rule; the final sigma counts as any other."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250)) if c == c.lower()]
+    pairs = [(c, plain) for c, plain in pairs if plain != c] + [("ς", "σ")]
+    return "".join(c for c, _ in pairs), "".join(plain for _, plain in pairs)
+
+
+MARKED, PLAIN = _plain_letters()
+
+
+def words(c: Column) -> Column:
+    """The words that search goes by: runs of letters and digits of all scripts, in small letters, Latin ones without marks, in order."""
+    return F.regexp_extract_all(F.translate(F.lower(c), MARKED, PLAIN), F.lit("([\\p{L}\\p{N}]+)"), 1)
+
+
 def folded(text: str) -> str:
     """Entities decoded, tags and their remnants gone; letters and digits of all scripts only, without accents or case."""
     text = _TAG_REMNANT.sub(" ", _TAG.sub(" ", html.unescape(text)))
