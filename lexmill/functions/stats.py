@@ -56,11 +56,21 @@ def lower_bound(diffs: np.ndarray, seed: int, resamples: int = RESAMPLES, alpha:
     return float(np.quantile(means, alpha))
 
 
-def bootstrap(seed: int):
-    """A grouped aggregate over a column of differences."""
+def bootstrap_of_counts(values: list[float], counts: list[int], seed: int, resamples: int = RESAMPLES, alpha: float = ALPHA) -> float:
+    """A7 from how often each value stands there: resampled counts are multinomial, so a group of any size costs its different values."""
+    values, counts = np.array(values, float), np.array(counts, np.int64)
+    n = int(counts.sum())
+    if not n:
+        raise ValueError("no differences")
+    drawn = np.random.Generator(np.random.PCG64(seed)).multinomial(n, counts / n, size=resamples)
+    return float(np.quantile(drawn @ values / n, alpha))
+
+
+def bound_of_counts(seed: int):
+    """bootstrap_of_counts over two array columns."""
 
     @F.pandas_udf(T.DoubleType())
-    def bound(diffs: pd.Series) -> float:
-        return lower_bound(diffs.to_numpy(float), seed)
+    def bound(values: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([bootstrap_of_counts(list(v), list(n), seed) for v, n in zip(values, counts)])
 
     return bound

@@ -54,8 +54,3 @@ def latest_verdicts(payloads: DataFrame, neurons: DataFrame) -> DataFrame:
     """The last verdict of each permitted validator on each digest, with the validator's stake."""
     last = ordered.latest(events(payloads, "v1"), ["digest", "hotkey"], "block", "seq")
     return last.join(neurons.where("validator_permit").select("hotkey", "stake"), "hotkey")
-
-
-def rolling_digest(lines: Column) -> Column:
-    """H6: r = sha256(r + sha256(line)) from 64 zeros, within one row."""
-    return F.aggregate(lines, F.lit("0" * 64), lambda held, line: F.sha2(F.concat(held, F.sha2(line, 256)), 256))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: Accuracy of the sketch behind exact quantiles; buckets of an as-of join that are carried over in one task.
+SKETCH, CARRIED = 10_000, 4_096
 
 
 def latest(df: DataFrame, keys: list[str], version: str, arrival: str) -> DataFrame:
@@ -41,34 +48,84 @@ def moving_average(df: DataFrame, key: str, order: str, value: str, k: int) -> D
     return ranked.groupBy(key).agg(F.sum(weight * F.col(value)).alias("average"), F.count("*").alias("n"))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The element at round(q (n - 1)) of a sorted array, halves to the even side."""
-    return F.element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1), 0) + 1).cast("int"))
+def quantiles(df: DataFrame, key: str, value: str, q: float, least: int) -> DataFrame:
+    """(key, nearest, exclusive) for keys of at least that many values, both exact: the value at round(q (n - 1)), halves to the even
+    side, and the quantile at q (n + 1) with the neighbours in proportion.
 
-
-def exclusive_quantile(values: Column, q: float) -> Column:
-    """The quantile at q (n + 1) of a sorted array, with the neighbours in proportion."""
-    n = F.size(values)
-    at = F.lit(q) * (n + 1)
-    low = F.greatest(F.least(F.floor(at), n - 1), F.lit(1)).cast("int")
-    return F.element_at(values, low) + (F.element_at(values, low + 1) - F.element_at(values, low)) * (at - low)
+    No key's values are brought together: a mergeable sketch gives bounds around the quantile that are sure to hold it (its ranks are off by
+    n / SKETCH at most, the bounds by n / 1000), rows outside are counted and only the few inside are sorted.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(key, value)
+    edges = rows.groupBy(key).agg(F.percentile_approx(value, [max(q - 0.001, 0.0), min(q + 0.001, 1.0)], SKETCH).alias("e"), F.count("*").alias("n")).where(F.col("n") >= least)
+    # few values: take all of a key that has no more than a page of them
+    low = F.when(F.col("n") > 10_000, F.col("e")[0])
+    high = F.when(F.col("n") > 10_000, F.col("e")[1])
+    near = rows.join(edges.select(key, "n", low.alias("low"), high.alias("high")), key)
+    inside = F.when((F.col("low").isNull() | (F.col(value) >= F.col("low"))) & (F.col("high").isNull() | (F.col(value) <= F.col("high"))), F.col(value))
+    v = near.groupBy(key).agg(F.first("n").alias("n"), F.count_if(F.col(value) < F.col("low")).alias("below"), F.array_sort(F.collect_list(inside)).alias("v"))
+    at = lambda rank: F.element_at("v", (rank - F.col("below")).cast("int"))
+    nearest = at(F.bround(F.lit(q) * (F.col("n") - 1), 0) + 1)
+    place = F.lit(q) * (F.col("n") + 1)
+    lower = F.greatest(F.least(F.floor(place), F.col("n") - 1), F.lit(1))
+    return v.select(key, nearest.alias("nearest"), (at(lower) + (at(lower + 1) - at(lower)) * (place - lower)).alias("exclusive"))
 
 
 def as_of(left: DataFrame, right: DataFrame, order: str, value: str, width: int) -> DataFrame:
-    """Left with the value of the last right row at or before its order; of equal ones the highest value.
+    """Left with the value of the last right row strictly before its order; of equal ones the highest value.
 
-    Rows meet within buckets of that width of the order column; what a bucket brings along from those before it is the
-    running last over one row for each bucket that has a right row, so no task holds all rows.
+    Rows meet within buckets of that width of the order column. What a bucket brings along from those before it is a running last over
+    one row for each bucket that has a right row, in blocks of CARRIED buckets, and over one row for each block.
     """
     bucket = F.floor(F.col(order) / width)
     steps = right.where(F.col(value).isNotNull()).groupBy(order).agg(F.max(value).alias(value))
-    last = steps.groupBy(bucket.alias("bucket")).agg(F.max_by(value, order).alias("carried"))
-    every = left.select(bucket.alias("bucket")).union(last.select("bucket")).distinct().join(last, "bucket", "left")
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select("bucket", F.last("carried", ignorenulls=True).over(before).alias("carried"))
+    last = steps.groupBy(bucket.alias("bucket")).agg(F.max_by(value, order).alias("own"))
+    every = left.select(bucket.alias("bucket")).union(last.select("bucket")).distinct().join(last, "bucket", "left").withColumn("block", F.floor(F.col("bucket") / CARRIED))
+    running = lambda w: F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = every.groupBy("block").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("bucket"))).alias("own"))
+    blocks = blocks.select("block", running(Window.orderBy("block")).alias("earlier"))
+    carried = every.withColumn("carried", running(Window.partitionBy("block").orderBy("bucket"))).join(blocks, "block").select("bucket", F.coalesce("carried", "earlier").alias("carried"))
     names = [c for c in left.columns if c != order]
-    both = left.select(F.col(order), F.struct(*names).alias("row"), F.lit(None).cast(steps.schema[value].dataType).alias(value), F.lit(1).alias("side"))
-    both = both.unionByName(steps.select(F.col(order), F.lit(None).cast(both.schema["row"].dataType).alias("row"), value, F.lit(0).alias("side"))).withColumn("bucket", bucket)
+    both = left.select(F.col(order), F.struct(*names).alias("row"), F.lit(None).cast(steps.schema[value].dataType).alias(value), F.lit(0).alias("side"))
+    both = both.unionByName(steps.select(F.col(order), F.lit(None).cast(both.schema["row"].dataType).alias("row"), value, F.lit(1).alias("side"))).withColumn("bucket", bucket)
     within = Window.partitionBy("bucket").orderBy(order, "side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("found", F.last(value, ignorenulls=True).over(within)).where("side = 1")
+    filled = both.withColumn("found", F.last(value, ignorenulls=True).over(within)).where("side = 0")
     return filled.join(carried, "bucket", "left").select(order, *[F.col(f"row.{c}").alias(c) for c in names], F.coalesce("found", "carried").alias(value))
+
+
+def rolled(df: DataFrame, key: str, order: str, text: str, step: str) -> DataFrame:
+    """(key, digest, n): a hash over each key's texts in order, read as a stream: no key's rows are held in memory.
+
+    step: chain is H6, r = sha256(r + sha256(text)) from 64 zeros; lines is X15, the hash of the texts with line ends between them.
+    """
+    kind, arrow_kind = df.schema[key].dataType.simpleString(), to_arrow_type(df.schema[key].dataType)
+
+    def stream(batches):
+        held, digest, n = None, None, 0
+        begun = False
+        for batch in batches:
+            done = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not begun or k != held:
+                    if begun:
+                        done.append((held, finish(digest), n))
+                    begun, held, n = True, k, 0
+                    digest = "0" * 64 if step == "chain" else hashlib.sha256()
+                if step == "chain":
+                    digest = hashlib.sha256((digest + hashlib.sha256(t.encode()).hexdigest()).encode()).hexdigest()
+                else:
+                    digest.update((("\n" if n else "") + t).encode())
+                n += 1
+            if done:
+                yield rows(done)
+        if begun:
+            yield rows([(held, finish(digest), n)])
+
+    def finish(digest) -> str:
+        return digest if isinstance(digest, str) else digest.hexdigest()
+
+    def rows(done: list) -> pa.RecordBatch:
+        keys, digests, counts = zip(*done)
+        return pa.RecordBatch.from_arrays([pa.array(keys, arrow_kind), pa.array(digests, pa.string()), pa.array(counts, pa.int64())], names=[key, "digest", "n"])
+
+    placed = df.where(F.col(text).isNotNull()).select(key, order, F.col(text).alias("_text")).repartition(key).sortWithinPartitions(key, order)
+    return placed.select(key, "_text").mapInArrow(stream, f"{key} {kind}, digest string, n long")

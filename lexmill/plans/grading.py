@@ -129,8 +129,8 @@ def attempts_used(spark, d):
 
 def time_percentiles(spark, d):
     """Both percentile methods over the times of each model's errors."""
-    arrays = _rollouts(spark, d).where("wall_time_s is not null and error is not null").groupBy("model").agg(F.array_sort(F.collect_list("wall_time_s")).alias("v"))
-    return arrays.where(F.size("v") >= 20).select("model", F.round(ordered.nearest_rank(F.col("v"), 0.95), 6).alias("nearest"), F.round(ordered.exclusive_quantile(F.col("v"), 0.95), 6).alias("exclusive"))
+    found = ordered.quantiles(_rollouts(spark, d).where("error is not null"), "model", "wall_time_s", 0.95, 20)
+    return found.select("model", F.round("nearest", 6).alias("nearest"), F.round("exclusive", 6).alias("exclusive"))
 
 
 def repeat_agreement(spark, d):
@@ -162,7 +162,7 @@ def round_robin(spark, d):
 
 def set_digest(spark, d):
     """By template the hash of the sorted task ids."""
-    return _tasks(spark, d).groupBy("template").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("task_id")), "\n"), 256).alias("digest"), F.count("*").alias("tasks"))
+    return ordered.rolled(_tasks(spark, d).withColumn("text", F.col("task_id")), "template", "task_id", "text", "lines").withColumnRenamed("n", "tasks")
 
 
 QUERIES = {f.__name__: f for f in (grade_cascade, grade_accuracy, grade_tiers, paired_halves, paired_detail, paired_by_template, solve_rates, difficulty_band, error_histogram, format_compliance, accuracy_ema, noise_floor, anchor_divergence, attempts_used, time_percentiles, repeat_agreement, evidence_missing, evidence_support, round_robin, set_digest)}

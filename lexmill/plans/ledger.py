@@ -117,9 +117,8 @@ def ledger_late(spark, d):
 
 
 def ledger_rolling_digest(spark, d):
-    """H6: the hash chain over each hotkey's payloads in order of arrival; a hotkey has few enough to be one row."""
-    lines = ledger.distinct_rows(_p(spark, d)).where("hotkey is not null and payload is not null").groupBy("hotkey").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("l"))
-    return lines.select("hotkey", ledger.rolling_digest(F.col("l.payload")).alias("digest"), F.size("l").cast("long").alias("n"))
+    """H6: the hash chain over each hotkey's payloads in order of arrival."""
+    return ordered.rolled(ledger.distinct_rows(_p(spark, d)).where("hotkey is not null"), "hotkey", "seq", "payload", "chain")
 
 
 def ledger_stakes(spark, d):

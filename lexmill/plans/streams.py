@@ -34,10 +34,13 @@ def stream_events_ema(spark, d):
 
 
 def paired_lower_bound(spark, d):
-    """The bootstrap bound of the paired differences by the tasks' origin; drawn numbers have no SQL."""
+    """The bootstrap bound of the paired differences by the tasks' origin; drawn numbers have no SQL. Differences are counted by size
+    before they meet, to a millionth, so that a group has no more different ones than that."""
     origin = table(spark, d, "tasks").groupBy("task_id").agg(F.lower(F.min("origin")).alias("origin"))
-    diffs = grading._halves(spark, d).join(origin, "task_id").select("origin", (F.col("challenger") - F.col("king")).alias("diff"))
-    return diffs.groupBy("origin").agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), stats.bootstrap(stats.seed_of("boot"))(F.col("diff")).alias("lower_bound"))
+    sizes = grading._halves(spark, d).join(origin, "task_id").groupBy("origin", F.round(F.col("challenger") - F.col("king"), 6).alias("diff")).agg(F.count("*").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct("diff", "n")))
+    by = sizes.groupBy("origin").agg(F.sum("n").alias("n"), (F.sum(F.col("diff") * F.col("n")) / F.sum("n")).alias("mean"), pairs.alias("p"))
+    return by.select("origin", "n", "mean", stats.bound_of_counts(stats.seed_of("boot"))(F.col("p.diff"), F.col("p.n")).alias("lower_bound"))
 
 
 def curate_first_wins(spark, d):

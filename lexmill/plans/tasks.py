@@ -145,7 +145,7 @@ def rollout_first_errors(spark, d):
 
 
 def reveal_round_before(spark, d):
-    """For each reveal the last round that started at or before its block."""
+    """For each reveal the last round that started strictly before its block."""
     p = table(spark, d, "payloads")
     return ordered.as_of(ledger.events(p, "e1").select("seq", "block"), ledger.events(p, "r1").select(F.col("block").alias("block"), "round"), "block", "round", 5_000).select("seq", "block", F.col("round"))
 
@@ -200,7 +200,7 @@ SQL = {
 def _as_of_sql() -> str:
     from lexmill.plans import ledger as ledger_plans
 
-    return ledger_plans._B + ", r1 AS (SELECT block, max(round) AS round FROM parsed WHERE kind = 'r1' AND reason IS NULL GROUP BY 1) SELECT e.seq, e.block, r1.round FROM e ASOF LEFT JOIN r1 ON e.block >= r1.block"
+    return ledger_plans._B + ", r1 AS (SELECT block, max(round) AS round FROM parsed WHERE kind = 'r1' AND reason IS NULL GROUP BY 1) SELECT e.seq, e.block, r1.round FROM e ASOF LEFT JOIN r1 ON e.block > r1.block"
 
 
 SQL["reveal_round_before"] = _as_of_sql()

@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +28,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_text_folder(spark: SparkSession, path: str, endings: tuple[str, ...] = ("txt", "md")) -> DataFrame:
-    """(url, title, text): whole files below path; the title is the first line that is not blank, without heading marks."""
+    """(url, title, text): whole files below path; url tells where below it; the title is the first line that is not blank, without heading marks."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm).toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.regexp_extract(F.lower("path"), "[.]([a-z0-9]+)$", 1).isin(*endings))
     text = F.decode("content", "UTF-8")
     first = F.element_at(F.filter(F.split(text, "\\r?\\n"), lambda x: F.trim(x) != ""), 1)
-    return files.select(F.concat(F.lit("local://"), F.element_at(F.split("path", "/"), -1)).alias("url"), F.trim(F.regexp_replace(F.trim(first), "^#+", "")).alias("title"), text.alias("text"))
+    return files.select(F.concat(F.lit("local://"), F.expr(f"substring(path, locate('{root}/', path) + {len(root) + 1})")).alias("url"), F.trim(F.regexp_replace(F.trim(first), "^#+", "")).alias("title"), text.alias("text"))
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -52,26 +55,36 @@ def release_view(staged: DataFrame, block: int) -> DataFrame:
 
 
 def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, dtype, shape, first, last) of the tensors that weight files list in their headers; broken files have none."""
+    """(path, name, dtype, shape, first, last) of the tensors that weight files list in their headers; broken files have none.
+
+    Only paths and sizes are listed; of each file its first 8 bytes and its header are read, whatever its size.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for file, content in zip(batch["path"], batch["content"]):
-                data = bytes(content)
-                if len(data) < 8:
-                    continue
-                size = struct.unpack("<Q", data[:8])[0]
-                try:
-                    header = json.loads(data[8 : 8 + size]) if size <= len(data) - 8 else {}
-                except ValueError:
-                    continue
-                for name, entry in header.items():
+            for file, length in zip(batch["path"], batch["length"]):
+                with fs.FileSystem.from_uri(_plain_uri(file))[0].open_input_file(fs.FileSystem.from_uri(_plain_uri(file))[1]) as source:
+                    if length < 8:
+                        continue
+                    size = struct.unpack("<Q", source.read(8))[0]
+                    if size > length - 8:
+                        continue
+                    try:
+                        header = json.loads(source.read(size))
+                    except ValueError:
+                        continue
+                for name, entry in header.items() if isinstance(header, dict) else ():
                     if name != "__metadata__" and isinstance(entry, dict) and len(entry.get("data_offsets", ())) == 2:
                         low, high = entry["data_offsets"]
-                        if 0 <= low <= high <= len(data) - 8 - size:
+                        if 0 <= low <= high <= length - 8 - size:
                             rows.append((file, name, str(entry.get("dtype")), [int(x) for x in entry.get("shape", [])], low, high))
             yield pd.DataFrame(rows, columns=["path", "name", "dtype", "shape", "first", "last"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
     return files.mapInPandas(scan, "path string, name string, dtype string, shape array<long>, first long, last long")
+
+
+def _plain_uri(path: str) -> str:
+    """Hadoop writes file:/x where others want file:///x."""
+    return path if "://" in path else path.replace("file:/", "file:///", 1)

@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset in local mode (tests) a temporary one of our own.
+
+    What is written there goes when the driver's program ends, as results may be read until then.
+    """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if _local_root is None:
         _local_root = "file://" + tempfile.mkdtemp(prefix="lexmill-")
     return _local_root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _written:
+        atexit.register(clean)
+    _written.append((spark, path))
+    return path
+
+
+def clean() -> None:
+    """Delete all scratch tables that this program wrote: at its end, or before that when their results have been read."""
+    for spark, path in _written:
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session has ended: the folder is left to its owner
+            break
+    _written.clear()
+    if _local_root is not None:
+        shutil.rmtree(_local_root.removeprefix("file://"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

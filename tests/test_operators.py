@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import struct
@@ -139,9 +140,31 @@ def test_ordered_operators(spark):
     for i in range(1, 30):
         held = 2 / 11 * (i % 3) + 9 / 11 * held
     assert ordered.moving_average(series, "k", "o", "v", 10).first().average == pytest.approx(held)
-    values = spark.createDataFrame([([float(i) for i in range(1, 31)],)], "v array<double>")
-    got = values.select(ordered.nearest_rank(F.col("v"), 0.95).alias("a"), ordered.exclusive_quantile(F.col("v"), 0.95).alias("b")).first()
-    assert got.a == 29.0 and got.b == pytest.approx(29.45)
+    values = spark.createDataFrame([("a", float(i)) for i in range(1, 31)] + [("few", 1.0), ("few", None)], "k string, v double")
+    got = ordered.quantiles(values, "k", "v", 0.95, 20).collect()
+    assert [(r.k, r.nearest) for r in got] == [("a", 29.0)] and got[0].exclusive == pytest.approx(29.45)
+    many = spark.range(30_000).selectExpr("'k' as k", "cast((id * 7919) % 30011 as double) as v")
+    order = sorted((i * 7919) % 30011 for i in range(30_000))
+    r = ordered.quantiles(many, "k", "v", 0.95, 20).first()
+    at = 0.95 * 30_001
+    assert r.nearest == order[round(0.95 * 29_999)] and r.exclusive == pytest.approx(order[int(at) - 1] + (order[int(at)] - order[int(at) - 1]) * (at - int(at)))
+
+
+def test_as_of_is_strict(spark):
+    left = spark.createDataFrame([(n, b) for n, b in enumerate((1, 5, 6, 10, 11, 90, 5000, 50_000))], "seq int, block long")
+    right = spark.createDataFrame([(5, 1), (5, 2), (10, 3), (80, 4), (7, None)], "block long, round int")
+    got = {r.block: r["round"] for r in ordered.as_of(left, right, "block", "round", 10).collect()}
+    assert got == {1: None, 5: None, 6: 2, 10: 2, 11: 3, 90: 4, 5000: 4, 50_000: 4}
+
+
+def test_rolled_digests(spark):
+    rows = spark.createDataFrame([("a", i, f"t{i}") for i in range(50)] + [("b", 1, ""), ("c", 1, None)], "k string, o int, t string").repartition(7)
+    lines = {r.k: (r.digest, r.n) for r in ordered.rolled(rows, "k", "o", "t", "lines").collect()}
+    assert lines == {"a": (hashlib.sha256("\n".join(f"t{i}" for i in range(50)).encode()).hexdigest(), 50), "b": (hashlib.sha256(b"").hexdigest(), 1)}
+    held = "0" * 64
+    for i in range(50):
+        held = hashlib.sha256((held + hashlib.sha256(f"t{i}".encode()).hexdigest()).encode()).hexdigest()
+    assert {r.k: r.digest for r in ordered.rolled(rows, "k", "o", "t", "chain").collect()}["a"] == held
 
 
 def test_wire_grammar(spark):
@@ -186,7 +209,10 @@ def test_file_sources(spark, tmp_path):
     (folder / "b.md").write_text("\n# Heading\nbody")
     (folder / "c.rst").write_text("ignored")
     assert [(r.title, r.url) for r in files.read_text_folder(spark, str(folder)).collect()] == [("Heading", "local://b.md")]
-    assert files.listing(spark, str(folder)).count() == 2
+    (folder / "sub").mkdir()
+    (folder / "sub" / "b.md").write_text("other")
+    assert {r.url for r in files.read_text_folder(spark, str(folder)).collect()} == {"local://b.md", "local://sub/b.md"}
+    assert files.listing(spark, str(folder)).count() == 3
     header = json.dumps({"w": {"dtype": "F32", "shape": [2], "data_offsets": [0, 8]}, "bad": {"data_offsets": [4, 99]}}).encode()
     weights = tmp_path / "weights"
     weights.mkdir()
@@ -195,11 +221,12 @@ def test_file_sources(spark, tmp_path):
     assert [(r.name, r.shape) for r in files.tensor_headers(spark, str(weights)).collect()] == [("w", [2])]
 
 
-def test_grammars():
+def test_grammars(spark):
     call = '<tool_call>{"name": "search", "arguments": {"q": "a"}}</tool_call>'
-    assert parse.parse_turn("<think>x</think>" + call + "<tool_call>{bad</tool_call>") == {"action": "search", "content": '{"q":"a"}'}
-    assert parse.parse_turn(call + "<answer> 7 ") == {"action": "answer", "content": "7"}
-    assert parse.parse_turn("<think><answer>no</answer></think>") is None and parse.parse_turn(None) is None
+    turns = {"<think>x</think>" + call + "<tool_call>{bad</tool_call>": ("search", '{"q":"a"}'), call + "<answer> 7 ": ("answer", "7"), "<think><answer>no</answer></think>": None, "": None, None: None,
+             '<tool_call>{"name": 5}</tool_call>' + call + '<tool_call>{"name": "n"}</tool_call>': ("n", "{}"), "<answer></answer>" + call: ("search", '{"q":"a"}')}
+    made = spark.createDataFrame([(t,) for t in turns], "t string").select("t", parse.turn(F.col("t")).alias("r")).collect()
+    assert {r.t: tuple(r.r) if r.r else None for r in made} == turns
     assert parse.expansions("the bone mineral density (BMD) and unrelated words (XYZ)") == ["BMD=bone mineral density"]
     assert parse.expansions(None) == []
     raw = "'''Bold''' {{box|{{x}}}}[[Page|label]]<ref>no</ref>\n== Head ==\n{| a\n| [[b|c]]\n|}end <!-- x -->"

@@ -21,7 +21,8 @@ def test_query(spark, name):
     frame = registry.queries()[name](spark, DATA)
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert frame.count() >= 0
+        rows = frame.collect()  # all columns are computed; count() would prune them
+        assert len(rows) == len({tuple(map(str, r)) for r in rows}) or name in ("search_snippets",)
     else:
         assert rows_of_frame(frame) == rows_of_sql(connect(DATA), sql, frame.columns)
 
