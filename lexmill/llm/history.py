@@ -100,23 +100,24 @@ class HistoryIndex:
     def __init__(self, spark: SparkSession, texts: DataFrame, max_runs: int = MAX_RUNS):
         self.spark, self.texts, self.max_runs = spark, texts, max_runs
         self.buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.runs: list[tuple[str, str, int]] = []
-        self.hot: DataFrame | None = None
-
-    def _write(self, entries: DataFrame, split: bool) -> None:
-        """A run: bucketed by key, sorted within buckets. split: entries of keys beyond a block's size are spread over further keys."""
-        if split:
-            counts = entries.where(F.col("kind") == BAND).groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > neardup.BLOCK)
-            self.hot = materialize(counts.select("key", F.ceil(F.col("members") / neardup.BLOCK).cast("int").alias("blocks")), "hot-keys")
-            if self.hot.limit(1).count():
-                block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))
-                entries = entries.join(self.hot, "key", "left").select("kind", self._spread(F.col("key"), F.when(F.col("kind") == BAND, block).otherwise(F.lit(0))).alias("key"), "check", "id")
-            else:
-                self.hot = None
+        #: (table, path, rows, the run's hot keys with their number of blocks or None)
+        self.runs: list[tuple[str, str, int, DataFrame | None]] = []
+
+    def _write(self, entries: DataFrame) -> None:
+        """A run of entries (kind, key, check, id): bucketed by key, sorted within buckets. Entries of band keys beyond a block's size are spread
+        over further keys; base holds their own."""
+        counts = entries.where(F.col("kind") == BAND).groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > neardup.BLOCK)
+        hot = materialize(counts.select("key", F.ceil(F.col("members") / neardup.BLOCK).cast("int").alias("blocks")), "hot-keys")
+        if hot.limit(1).count():
+            block = F.when(F.col("kind") == BAND, F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))).otherwise(F.lit(0))
+            entries = entries.join(hot, "key", "left").select("kind", self._spread(F.col("key"), block).alias("key"), "check", "id", F.when(block > 0, F.col("key")).alias("base"))
+        else:
+            hot = None
+            entries = entries.select("kind", "key", "check", "id", F.lit(None).cast("long").alias("base"))
         name, path, seen = f"run_{uuid.uuid4().hex[:12]}", scratch_path(self.spark, "history-run"), Observation()
         placed = entries.observe(seen, F.count(F.lit(1)).alias("rows")).repartition(self.buckets, "key")
         placed.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-        self.runs.append((name, path, seen.get["rows"]))
+        self.runs.append((name, path, seen.get["rows"], hot))
 
     @staticmethod
     def _spread(key: Column, block: Column) -> Column:
@@ -124,36 +125,37 @@ class HistoryIndex:
 
     def add(self, records: DataFrame) -> None:
         """Accepted records become a run; runs are compacted when there are too many."""
-        first = not self.runs
-        self._write(_entries(records), split=first)
+        self._write(_entries(records))
         if len(self.runs) > self.max_runs:
             self.runs.sort(key=lambda run: -run[2])
             old = self.runs[1:]
             self.runs = self.runs[:1]
-            merged = self.spark.table(old[0][0])
-            for name, _, _ in old[1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            self._write(merged, split=False)
+            merged = None
+            for name, *_ in old:
+                entries = self.spark.table(name).select("kind", F.coalesce("base", "key").alias("key"), "check", "id")
+                merged = entries if merged is None else merged.unionByName(entries)
+            self._write(merged)
             kept, self.runs = self.runs, old
             self.drop()
             self.runs = kept
 
     def drop(self) -> None:
         """Delete all runs."""
-        for name, path, _ in self.runs:
+        for name, path, *_ in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             drop_path(self.spark, path)
         self.runs = []
 
     def windows(self, entries: DataFrame) -> DataFrame:
         """(kind, id, other): for each new entry the history entries at its key."""
-        if self.hot is not None:
-            blocks = entries.join(self.hot, "key", "left").select("*", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
-            entries = blocks.select("kind", self._spread(F.col("key"), F.when(F.col("kind") == BAND, F.col("block")).otherwise(F.lit(0))).alias("key"), "check", "id").distinct()
         found = None
-        for name, _, _ in self.runs:
+        for name, _, _, hot in self.runs:
+            mine = entries
+            if hot is not None:
+                blocks = entries.join(hot, "key", "left").select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == BAND, F.coalesce("blocks", F.lit(1)) - 1).otherwise(0))).alias("block"))
+                mine = blocks.select("kind", self._spread(F.col("key"), F.col("block")).alias("key"), "check", "id").distinct()
             run = self.spark.table(name).select("kind", "key", "check", F.col("id").alias("other"))
-            hits = run.join(entries.hint("shuffle_hash"), ["key", "kind", "check"]).select("kind", "id", "other")
+            hits = run.join(mine.hint("shuffle_hash"), ["key", "kind", "check"]).select("kind", "id", "other")
             found = hits if found is None else found.unionByName(hits)
         return found
 
@@ -163,9 +165,7 @@ class HistoryIndex:
         entries = materialize(_entries(records), "batch-entries")
         bands = entries.where(F.col("kind") == BAND)
         old = self.windows(entries)
-        shared = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        held = bands.join(shared, "key").select("key", "id")
-        new = held.select("key", F.col("id").alias("other")).join(held, "key").where("other < id").select(F.lit(-1).alias("kind"), "id", "other")
+        new = neardup.paired_entries(bands.select("id", "key")).select(F.lit(-1).alias("kind"), F.col("b").alias("id"), F.col("a").alias("other"))
         seen = Observation()
         hits = materialize(old.unionByName(new).distinct().observe(seen, F.count(F.when(F.col("kind") <= 0, 1)).alias("pairs"), F.count(F.lit(1)).alias("rows")), "windows")
         sure = hits.where("kind > 0").select("kind", "id", "other")

@@ -4,7 +4,8 @@ First characters are normalised one by one: compatibility forms of letters, digi
 mathematical, ligatures, special spaces) become the ordinary ones, ignorable characters go, marks are composed with their
 letters where one character exists for both. Then every word that mixes scripts, or stands alone in another script than
 its neighbours and could be written in theirs, becomes a lattice of look-alike letters. Viterbi search takes the path of
-highest score under a character trigram model, with a cost for each replaced letter and for each change of script.
+highest score under a character trigram model, with a cost for each replaced letter and for each change of script. There is a lattice for
+each script that the word could be written in, so that a word comes out in one script.
 
 Kept as they are: superscripts and subscripts, Greek letters used as symbols, quotation marks, dashes and the
 punctuation of a text's own script, joiners between letters of scripts that spell with them, direction marks beside
@@ -153,6 +154,20 @@ def script(c: str) -> str:
     return "other" if c.isalpha() else ""
 
 
+_WRITTEN = ("Latin", "Cyrillic", "Greek", "Armenian")
+_MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ԯ]|[Ѐ-ԯ][A-Za-zÀ-ɏ]")
+
+
+def _of_one_script(scripts: list[str], i: int) -> bool:
+    """Whether the run of letters around a place is of one script, which is then left as it is."""
+    low = high = i
+    while low and scripts[low - 1]:
+        low -= 1
+    while high + 1 < len(scripts) and scripts[high + 1]:
+        high += 1
+    return len(set(scripts[low : high + 1])) == 1 and scripts[i] in _WRITTEN
+
+
 def fold_word(word: str) -> str:
     """A quick fold without a model, towards the script of most letters: only for comparison."""
     word = normalise_characters(word)
@@ -187,19 +202,30 @@ class Consistent:
         return held
 
     def search(self, word: str, context: str) -> str:
-        """Viterbi over the lattice of the word's look-alikes; the state is the last two characters."""
+        """The best of the lattices for each script that the word could be written in, and of the word as it stands. A path holds one script in
+        each run of letters as far as look-alikes go; a mix of Latin and Cyrillic is kept only where no path is free of one."""
+        scripts = [script(c) for c in word]
+        targets = {s for s in scripts if s in _WRITTEN} | ({context} if context in _WRITTEN else set()) or {"Latin"}
+        found = [self._path(word, scripts, target, context) for target in sorted(targets)]
+        pure = [path for path in found if not _MIXED.search(path[1])]
+        if pure and _MIXED.search(word):
+            found = pure
+        else:
+            found.append(self._path(word, scripts, "", context))
+        return max(found, key=lambda x: (x[0], x[1] == word, x[1]))[1]
+
+    def _path(self, word: str, scripts: list[str], target: str, context: str) -> tuple[float, str]:
+        """Viterbi over the lattice of the word's look-alikes in one script; the state is the last two characters."""
         states: dict[tuple[str, str], tuple[float, str]] = {(" ", " "): (0.0, "")}
-        cyrillic = context == "Cyrillic" or any(map("Cyrillic".__eq__, map(script, word)))
         for i, c in enumerate(word):
-            options = _CLASS_OF.get(c, c)
-            if cyrillic and c in _RARE:
-                options += _CYRILLIC_OF.get(c, "")
-            if c in _LIVING and (context == "own" or "other" in (script(word[i - 1 : i] or " "), script(word[i + 1 : i + 2] or " "))):
-                options = c
+            options = c
+            if target and scripts[i] not in ("", target) and not (c in _LIVING and (context == "own" or "other" in scripts[max(i - 1, 0) : i] + scripts[i + 1 : i + 2])):
+                if context or not _of_one_script(scripts, i):
+                    options = "".join(o for o in _CLASS_OF.get(c, "") + _CYRILLIC_OF.get(c, "") if script(o) == target) or c
             following: dict[tuple[str, str], tuple[float, str]] = {}
             for (a, b), (score, path) in states.items():
                 before = script(b)
-                for o in options:
+                for o in dict.fromkeys(options):
                     s = script(o)
                     now = score + self.gram(a, b, o)
                     if o != c:
@@ -212,7 +238,7 @@ class Consistent:
                     if held is None or now > held[0]:
                         following[b, o] = (now, path + o)
             states = following
-        return max(((score + self.gram(a, b, " "), path == word, path) for (a, b), (score, path) in states.items()))[2]
+        return max((score + self.gram(a, b, " "), path) for (a, b), (score, path) in states.items())
 
     def form(self, text: str | None) -> str | None:
         if not text or (text.isascii() and not _IGNORED_RUN.search(text)):

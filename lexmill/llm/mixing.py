@@ -23,12 +23,6 @@ from pyspark.sql import functions as F
 from lexmill.llm import tokens
 from lexmill.storage import materialize
 
-# The domain of each known source; others form a domain of their own.
-DOMAINS = {
-    "abstract_feed": "research", "review_dump": "research", "preprint_mirror": "research", "holdout_harvest": "research", "practice_corpus": "research",
-    "wiki_extracts": "reference", "handbook": "reference", "glossary": "reference", "errata": "reference",
-    "task_pool": "evaluation", "rollout_log": "evaluation", "validator_notes": "evaluation", "local_dir": "evaluation",
-}
 SEED = 20_240_117
 #: Rows that one range of the seeded hash holds about; rows of targets and of (source, language), at most, that the driver plans with.
 RANGE_ROWS, MOST_LEAVES = 20_000, 200_000
@@ -59,8 +53,8 @@ def _fill(budget: float, children: dict, weight, room) -> dict:
     return given
 
 
-def budgets(leaf_sizes: dict[tuple[str, str], int], targets: dict[str, tuple[float, int]], total: float) -> dict[tuple[str, str], float]:
-    """Tokens to take of each leaf (language, source) of one mix. targets: by source, share and most repeats."""
+def budgets(leaf_sizes: dict[tuple[str, str], int], targets: dict[str, tuple[float, int]], total: float, domains: dict[str, str]) -> dict[tuple[str, str], float]:
+    """Tokens to take of each leaf (language, source) of one mix. targets: by source, share and most repeats; domains: of sources, others form one of their own."""
     whole = sum(share for share, _ in targets.values()) or 1.0
     by_source: dict[str, int] = defaultdict(int)
     for (_, source), size in leaf_sizes.items():
@@ -69,7 +63,7 @@ def budgets(leaf_sizes: dict[tuple[str, str], int], targets: dict[str, tuple[flo
     room: dict[tuple, float] = defaultdict(float)
     tree: dict[tuple, set] = defaultdict(set)
     for source, (share, repeats) in targets.items():
-        domain = DOMAINS.get(source, "other")
+        domain = domains.get(source, "other")
         # a source without documents still weighs for its domain, so its siblings come first
         leaves = [(lang, size) for (lang, s), size in leaf_sizes.items() if s == source] or [("und", 0)]
         for lang, size in leaves:
@@ -93,14 +87,19 @@ def budgets(leaf_sizes: dict[tuple[str, str], int], targets: dict[str, tuple[flo
     return out
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = tokens.VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(taken (mix_id, doc_id, source, tokens, times), plan (mix_id, source, target_share, max_repeats, planned_tokens))."""
+def mix(documents: DataFrame, mix_targets: DataFrame, domains: DataFrame | None = None, vocabulary: str = tokens.VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(taken (mix_id, doc_id, source, tokens, times), plan (mix_id, source, target_share, max_repeats, planned_tokens)).
+
+    domains: (source, domain), the upper level of the tree; without it, and for sources that it lacks, there is one domain.
+    """
     spark = documents.sparkSession
     sized = tokens.token_sizes(documents.select("doc_id", "source", language(F.col("lang")).alias("language"), "text"), "text", ["doc_id", "source", "language"], vocabulary)
     sized = materialize(sized, "mix-sizes")
     leaves = sized.where("source is not null").groupBy("language", "source").agg(F.sum("tokens").alias("size"), F.count("*").alias("rows")).limit(MOST_LEAVES + 1).collect()
     targets = mix_targets.limit(MOST_LEAVES + 1).collect()
-    if max(len(leaves), len(targets)) > MOST_LEAVES:
+    branches = domains.where("source is not null and domain is not null").limit(MOST_LEAVES + 1).collect() if domains is not None else []
+    domain_of = {r.source: r.domain for r in sorted(branches)}
+    if max(len(leaves), len(targets), len(branches)) > MOST_LEAVES:
         raise ValueError("too many sources and languages to plan with")
     everything = sized.agg(F.sum("tokens")).first()[0] or 0
     leaf_sizes = {(r.language, r.source): r["size"] for r in leaves}
@@ -112,7 +111,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = tokens.V
         mixes[r.mix_id][r.source] = (max(r.target_share or 0.0, 0.0), int(r.max_repeats or 0))
         factors[r.mix_id] = float(r.total_factor or 0.0)
     for mix_id, wanted in sorted(mixes.items()):
-        found = budgets(leaf_sizes, wanted, factors[mix_id] * everything)
+        found = budgets(leaf_sizes, wanted, factors[mix_id] * everything, domain_of)
         by_source: dict[str, float] = defaultdict(float)
         for (lang, source), budget in sorted(found.items()):
             by_source[source] += budget
@@ -127,7 +126,8 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = tokens.V
     planned_table = spark.createDataFrame(planned, "mix_id string, source string, target_share double, max_repeats int, planned_tokens double")
     # the seeded order of the epoch in which the leaf's budget ends
     place = F.xxhash64(F.lit(seed), "mix_id", "whole", "doc_id")
-    rows = sized.join(F.broadcast(plan_table), ["language", "source"]).withColumn("place", place)
+    # a row for each mix and leaf: sent to the workers only while that is bounded
+    rows = sized.join(F.broadcast(plan_table) if len(plans) <= MOST_LEAVES else plan_table, ["language", "source"]).withColumn("place", place)
     rows = rows.withColumn("range", F.pmod(F.shiftrightunsigned("place", 40), F.col("ranges")).cast("int"))
     leaf = ["mix_id", "language", "source"]
     summed = rows.where("rest > 0").groupBy(*leaf, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))

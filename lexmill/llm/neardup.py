@@ -80,7 +80,12 @@ def shingle_table(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) ->
 
 def candidate_pairs(features: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b: different records of features (id, keys) that share a band key, each pair once."""
-    entries = features.select("id", F.explode("keys").alias("key"))
+    return paired_entries(features.select("id", F.explode("keys").alias("key")), block)
+
+
+def paired_entries(entries: DataFrame, block: int | None = None) -> DataFrame:
+    """(a, b), a < b: different records of entries (id, key) that share a key, each pair once; large keys in blocks that meet pairwise."""
+    block = block or BLOCK
     shared = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     held = entries.join(shared, "key").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     held = materialize(held.select("key", "id", "blocks"), "band-entries")

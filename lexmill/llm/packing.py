@@ -110,8 +110,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
                     stock.take(s, n * times)
                 fixed.append((tuple(sorted(need.items(), reverse=True)), times))
                 moved = True
-        if len(fixed) > 4 * capacity + 1000:
-            break
     return fixed + _best_fit(stock, capacity)
 
 

@@ -86,15 +86,28 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(capacity, "spec_id").select("spec_id", "containers", "tokens", "most_tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
 
 
+# The domain of each source of documents, the upper level of the tree of p8.
+DOMAINS = {
+    "abstract_feed": "research", "review_dump": "research", "preprint_mirror": "research", "holdout_harvest": "research", "practice_corpus": "research",
+    "wiki_extracts": "reference", "handbook": "reference", "glossary": "reference", "errata": "reference",
+    "task_pool": "evaluation", "rollout_log": "evaluation", "validator_notes": "evaluation", "local_dir": "evaluation",
+}
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    domains = spark.createDataFrame(sorted(DOMAINS.items()), "source string, domain string")
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), domains)
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken for each mix."""
-    taken, _ = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    taken, _ = _mixed(spark, sf_dir)
     return taken.select("mix_id", "doc_id", "times")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that the sources of each mix reach."""
-    return mixing.shares(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+    return mixing.shares(*_mixed(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,5 +119,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p3_found, p3_restored, p4_found, p4_counts, p5_found, p5_groups, p6_found, p6_composition, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)}
 
 
+_SHINGLES = """
+  WITH words AS (SELECT ord, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM docs WHERE text IS NOT NULL),
+  shingles AS (SELECT DISTINCT ord, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END) AS s FROM words WHERE len(w) > 0),
+  sizes AS (SELECT ord, count(*) AS n, string_agg(s, '|' ORDER BY s) AS whole FROM shingles GROUP BY ord),
+  met AS (SELECT a.ord AS a, b.ord AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.ord < b.ord GROUP BY ALL)
+"""
+
+
+def _alike(threshold: float) -> str:
+    return f"SELECT a, b FROM met JOIN sizes x ON x.ord = a JOIN sizes y ON y.ord = b WHERE met.n * {1 + threshold} + 1e-9 >= (x.n + y.n) * {threshold}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force over all pairs; groups as the lowest ord that links lead to, links between the first records of equal sets of runs."""
+    return {
+        "p5_found": _SHINGLES + f"SELECT a AS ord_a, b AS ord_b FROM ({_alike(0.7)})",
+        "p5_groups": _SHINGLES.replace("WITH words", "WITH RECURSIVE words") + f""", pairs AS ({_alike(0.8)}), edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+          reach AS (SELECT ord AS a, ord AS b FROM sizes UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+          reps AS (SELECT ord, min(ord) OVER (PARTITION BY whole) AS rep FROM sizes),
+          degree AS (SELECT x.rep, count(DISTINCT y.rep) AS links FROM edges JOIN reps x ON x.ord = a JOIN reps y ON y.ord = b WHERE x.rep <> y.rep GROUP BY x.rep)
+          SELECT r.ord, g.group_id, coalesce(links, 0) AS links FROM reps r JOIN (SELECT a AS ord, min(b) AS group_id FROM reach GROUP BY a) g USING (ord) LEFT JOIN degree USING (rep)""",
+    }

@@ -2,14 +2,14 @@
 
 1. One pass writes the canonical bytes of each record. Within a task equal ones are combined first, so a group of copies
    that holds a third of all rows leaves each task as one row with its lowest id and its count.
-2. The combined rows are counted by their first bytes. A bucket of more rows than fit is split by further bytes, again
-   and again, until each fits or holds one value only; only the list of split prefixes reaches the driver, and a bucket
-   may hold at least a 4096th of all rows, which bounds that list.
+2. The combined rows are counted by their first bytes. A bucket of more rows than fit is split by the LEVEL_BYTES behind the longest
+   prefix that all its rows share, again and again, until each fits or holds one value only. Buckets are tables throughout: nothing of them
+   reaches the driver, and only rows of buckets that are still too large are written again.
 3. Rows are shuffled by bucket and sorted by it; a task builds one bucket's trie at a time. Terminals hold the count and the
    lowest id of equal canonical bytes.
 
 Canonical bytes: case folded, without whitespace and punctuation; a decimal point, a minus sign, < and > stay. A text of
-labelled fields (a JSON object, or "label: value" pieces divided by line breaks, bars or semicolons) has its fields sorted.
+labelled fields (a JSON object, or at least two "label: value" pieces, and nothing else, divided by line breaks, bars or semicolons) has its fields sorted.
 
 Null or empty (also all-blank) texts are never a case; a null title counts as an empty one. Ids have to be unique and not
 null. Further columns are not read. An empty table gives empty results.
@@ -60,15 +60,19 @@ def _fields(text: str) -> list[tuple[str, str]] | None:
             found = None
         if isinstance(found, dict) and found:
             return [(str(k), v if isinstance(v, str) else json.dumps(v, sort_keys=True)) for k, v in found.items()]
-    head = body[:80]
-    if ":" not in head and "=" not in head:
+    if ":" not in body and "=" not in body:
         return None
     for divider in ("\n", "|", ";"):
         pieces = [x for x in body.split(divider) if x.strip()]
-        if len(pieces) >= 3:
-            found = [_LABEL.match(x) for x in pieces]
-            if all(found):
-                return [(m[1], m[2]) for m in found]
+        if len(pieces) >= 2:
+            found = []
+            for piece in pieces:
+                m = _LABEL.match(piece)
+                if m is None:
+                    break
+                found.append((m[1], m[2]))
+            else:
+                return found
     return None
 
 
@@ -172,22 +176,30 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield leave(trie)
 
 
-def _split_prefixes(rows: DataFrame, bucket_rows: int) -> list[set[bytes]]:
-    """By level, the prefixes of the buckets that have to be split. Buckets of one value only are left as they are."""
-    total = rows.count()
-    limit = max(bucket_rows, total // 4096)
-    levels: list[set[bytes]] = []
-    left = rows
-    while total > limit:
-        length = LEVEL_BYTES * (len(levels) + 1)
-        prefix = F.expr(f"substring(bytes, 1, {length})")
-        counted = left.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("rows"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-        large = {bytes(r.prefix) for r in counted.where((F.col("rows") > limit) & (F.col("low") != F.col("high"))).select("prefix").collect()}
-        levels.append(large)
-        if not large:
-            break
-        left = left.where(prefix.isin([bytearray(x) for x in large]))
-    return levels
+def _shared_length(low: pa.Array, high: pa.Array) -> pa.Array:
+    """How many bytes the lowest and the highest value of a bucket, and so all of its values, share."""
+    return pa.array([next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(low.to_pylist(), high.to_pylist())], pa.int32())
+
+
+_shared_length.__annotations__ = {"low": pa.Array, "high": pa.Array, "return": pa.Array}
+
+
+def _buckets(values: DataFrame, bucket_rows: int) -> DataFrame:
+    """values with the prefix (bucket) that tells where each row goes: of at most bucket_rows rows, or of one value."""
+    left = values.withColumn("bucket", F.expr(f"substring(bytes, 1, {LEVEL_BYTES})"))
+    settled = None
+    while True:
+        counted = left.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+        large = materialize(counted.where((F.col("rows") > bucket_rows) & (F.col("low") != F.col("high"))).select("bucket"), "large-buckets")
+        fits = left.join(large, "bucket", "left_anti")
+        settled = fits if settled is None else settled.unionByName(fits)
+        if not large.limit(1).count():
+            return settled
+        inside = left.join(large, "bucket")
+        ends = inside.groupBy("bucket").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+        lengths = ends.select("bucket", (F.arrow_udf(_shared_length, "int")("low", "high") + LEVEL_BYTES).alias("length"))
+        # a value that ends where others go on is a bucket of its own
+        left = materialize(inside.join(lengths, "bucket").select(*values.columns, F.expr("substring(bytes, 1, length)").alias("bucket")), "split-rows")
 
 
 def format_copies(df: DataFrame, id_col: str, title_col: str, text_col: str, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -196,17 +208,11 @@ def format_copies(df: DataFrame, id_col: str, title_col: str, text_col: str, buc
     rows = materialize(some.mapInArrow(_canonical_rows, "kind int, id long, digest binary, n long, bytes binary"), "canonical-rows")
     members = rows.where("kind = 0").select("id", "digest")
     values = rows.where("kind = 1").select("bytes", "id", "digest", "n")
-    levels = _split_prefixes(values, bucket_rows)
-    prefixes = [F.expr(f"substring(bytes, 1, {LEVEL_BYTES * (depth + 1)})") for depth in range(len(levels) + 1)]
-    bucket = prefixes[-1]
-    for here, large in reversed(list(zip(prefixes, levels))):
-        bucket = F.when(here.isin([bytearray(x) for x in large]), bucket).otherwise(here)
-    placed = values.select(bucket.alias("bucket"), "id", "digest", "n", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+    placed = _buckets(values, bucket_rows).select("bucket", "id", "digest", "n", "bytes").repartition("bucket").sortWithinPartitions("bucket")
     groups = materialize(placed.mapInArrow(_count_buckets, "digest binary, kept long, copies long"), "copy-groups")
     return groups, members
 
 
-
 def copy_pairs(df: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
     """(kept, copy): each other member of a group with the group's lowest id."""
     groups, members = format_copies(df, id_col, title_col, text_col)

@@ -41,6 +41,16 @@ def test_lattices_cover_rare_scripts(repairer):
         assert forms.form(kept) == kept
 
 
+def test_words_come_out_in_one_script(spark):
+    model = encoding.fit(spark.read.parquet("/root/testdata/sf0.01/docs.parquet"), "ord", ["text", "title"]).model
+    forms = lookalikes.Consistent(model)
+    words = {"рaypal": "paypal", "Росcия": "Россия", "Ꮪience": "Sience", "ⲟrange": "orange", "fiеld": "field"}
+    assert {w: forms.form(w) for w in words} == words
+    assert forms.form("МОСKВА") in ("МОСКВА", "MOCKBA")
+    for kept in ("TKNα", "κ-статистика", "IgG-анализ", "DNA-тест"):
+        assert forms.form(kept) == kept
+
+
 @pytest.mark.parametrize(("read", "written"), [("cp1252", "utf-8"), ("mac_roman", "utf-8"), ("cp850", "utf-8"), ("cp1251", "utf-8"), ("mac_roman", "cp1252")])
 def test_encoding_round_trip(repairer, read, written):
     text = "Öhlen schrieb über die Region Övrehed für Brévane und Kärsund, während Sollén in Korvéni war."

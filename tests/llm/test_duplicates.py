@@ -110,6 +110,25 @@ def test_radix_splits_and_counts(spark):
     assert radix.copy_pairs(df.limit(0), "ord", "title", "text").count() == 0
 
 
+def test_radix_buckets_fit_whatever_they_share(spark):
+    """Texts that share hundreds of bytes, one that ends where others go on, and a value that fills more than a bucket."""
+    rows = [(i, "same title", "the same long beginning " * 30 + f"{i % 40:03} end") for i in range(400)] + [(1000 + i, "same title", "the same long beginning " * 30) for i in range(9)]
+    df = spark.createDataFrame(rows, "ord long, title string, text string").repartition(8)
+    values = spark.createDataFrame([(bytearray(f"{x:06}".encode() * 2 if x else b"0000"), i, bytearray(f"{x}".encode()), 1) for i, x in enumerate(list(range(50)) + [7] * 30)], "bytes binary, id long, digest binary, n long")
+    placed = radix._buckets(values, 5).collect()
+    sizes = {}
+    for r in placed:
+        sizes.setdefault(bytes(r.bucket), []).append(bytes(r.digest))
+    assert len(placed) == 80 and all(len(v) <= 5 or len(set(v)) == 1 for v in sizes.values())
+    groups, _ = radix.format_copies(df, "ord", "title", "text", bucket_rows=4)
+    assert sorted((r.kept, r.copies) for r in groups.collect()) == [(i, 10) for i in range(40)] + [(1000, 9)]
+
+
+def test_two_labelled_fields_may_change_places():
+    assert radix.canonical(None, "A: 1; B: 2") == radix.canonical(None, "B: 2; A: 1")
+    assert radix.canonical(None, "word " * 30 + "A: 1") != radix.canonical(None, "A: 1" + " word" * 30)
+
+
 def test_trie_terminals():
     rng, trie, want = random.Random(2), radix.Trie(4), {}
     for i in range(2_000):
@@ -146,8 +165,9 @@ def brute_refused(rows):
     return out
 
 
-@pytest.mark.parametrize("ordered_rows", [history.ORDERED_ROWS, 0])
-def test_history_against_brute_force(spark, monkeypatch, ordered_rows):
+@pytest.mark.parametrize(("ordered_rows", "block"), [(history.ORDERED_ROWS, neardup.BLOCK), (0, neardup.BLOCK), (history.ORDERED_ROWS, 2)])
+def test_history_against_brute_force(spark, monkeypatch, ordered_rows, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(history, "ORDERED_ROWS", ordered_rows)
     if not ordered_rows:  # the way for large batches, with hot keys cut into blocks
         monkeypatch.setattr(neardup, "BLOCK", 2)
