@@ -100,19 +100,23 @@ class HistoryIndex:
     def __init__(self, spark: SparkSession, texts: DataFrame, max_runs: int = MAX_RUNS):
         self.spark, self.texts, self.max_runs = spark, texts, max_runs
         self.buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        #: The most entries that a band key had in the last batch.
+        self.most = 0
         #: (table, path, rows, the run's hot keys with their number of blocks or None)
         self.runs: list[tuple[str, str, int, DataFrame | None]] = []
 
-    def _write(self, entries: DataFrame) -> None:
+    def _write(self, entries: DataFrame, most: int | None = None) -> None:
         """A run of entries (kind, key, check, id): bucketed by key, sorted within buckets. Entries of band keys beyond a block's size are spread
-        over further keys; base holds their own."""
-        counts = entries.where(F.col("kind") == BAND).groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > neardup.BLOCK)
-        hot = materialize(counts.select("key", F.ceil(F.col("members") / neardup.BLOCK).cast("int").alias("blocks")), "hot-keys")
-        if hot.limit(1).count():
+        over further keys; base holds their own. most: a bound of the entries of one band key, if it is known."""
+        counts = entries.where(F.col("kind") == BAND).groupBy("key").agg(F.count("*").alias("members"))
+        if most is None:
+            most = counts.agg(F.max("members")).first()[0] or 0
+        hot = None
+        if most > neardup.BLOCK:
+            hot = materialize(counts.where(F.col("members") > neardup.BLOCK).select("key", F.ceil(F.col("members") / neardup.BLOCK).cast("int").alias("blocks")), "hot-keys")
             block = F.when(F.col("kind") == BAND, F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))).otherwise(F.lit(0))
             entries = entries.join(hot, "key", "left").select("kind", self._spread(F.col("key"), block).alias("key"), "check", "id", F.when(block > 0, F.col("key")).alias("base"))
         else:
-            hot = None
             entries = entries.select("kind", "key", "check", "id", F.lit(None).cast("long").alias("base"))
         name, path, seen = f"run_{uuid.uuid4().hex[:12]}", scratch_path(self.spark, "history-run"), Observation()
         placed = entries.observe(seen, F.count(F.lit(1)).alias("rows")).repartition(self.buckets, "key")
@@ -123,9 +127,9 @@ class HistoryIndex:
     def _spread(key: Column, block: Column) -> Column:
         return F.when(block == 0, key).otherwise(F.xxhash64(key, block))
 
-    def add(self, records: DataFrame) -> None:
+    def add(self, records: DataFrame, most: int | None = None) -> None:
         """Accepted records become a run; runs are compacted when there are too many."""
-        self._write(_entries(records))
+        self._write(_entries(records), most)
         if len(self.runs) > self.max_runs:
             self.runs.sort(key=lambda run: -run[2])
             old = self.runs[1:]
@@ -165,7 +169,16 @@ class HistoryIndex:
         entries = materialize(_entries(records), "batch-entries")
         bands = entries.where(F.col("kind") == BAND)
         old = self.windows(entries)
-        new = neardup.paired_entries(bands.select("id", "key")).select(F.lit(-1).alias("kind"), F.col("b").alias("id"), F.col("a").alias("other"))
+        counted = Observation()
+        shared = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").observe(counted, F.max("members").alias("most"))
+        shared = materialize(shared, "shared-keys")
+        self.most = counted.get["most"] or 1
+        if self.most > neardup.BLOCK:
+            pairs = neardup.paired_entries(bands.select("id", "key"))
+        else:
+            held = bands.join(shared, "key").select("key", "id")
+            pairs = held.select("key", F.col("id").alias("a")).join(held.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+        new = pairs.select(F.lit(-1).alias("kind"), F.col("b").alias("id"), F.col("a").alias("other"))
         seen = Observation()
         hits = materialize(old.unionByName(new).distinct().observe(seen, F.count(F.when(F.col("kind") <= 0, 1)).alias("pairs"), F.count(F.lit(1)).alias("rows")), "windows")
         sure = hits.where("kind > 0").select("kind", "id", "other")
@@ -277,7 +290,7 @@ def refused_records(df: DataFrame, id_col: str, batch_col: str, url_col: str, te
         refused = materialize(index.resolve(records, sizes[number]), "refused")
         results.append(refused.select("kept", "id"))
         if number != numbers[-1]:
-            index.add(records.join(refused.select("id"), "id", "left_anti"))
+            index.add(records.join(refused.select("id"), "id", "left_anti"), index.most)
         release(spark)
     index.drop()
     if not results:
