@@ -102,8 +102,8 @@ class HistoryIndex:
         self.buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
         #: The most entries that a band key had in the last batch.
         self.most = 0
-        #: (table, path, rows, the run's hot keys with their number of blocks or None)
-        self.runs: list[tuple[str, str, int, DataFrame | None]] = []
+        #: (table, path, rows, the run's hot keys with their number of blocks or None, a bound of the entries of one band key)
+        self.runs: list[tuple[str, str, int, DataFrame | None, int]] = []
 
     def _write(self, entries: DataFrame, most: int | None = None) -> None:
         """A run of entries (kind, key, check, id): bucketed by key, sorted within buckets. Entries of band keys beyond a block's size are spread
@@ -121,7 +121,7 @@ class HistoryIndex:
         name, path, seen = f"run_{uuid.uuid4().hex[:12]}", scratch_path(self.spark, "history-run"), Observation()
         placed = entries.observe(seen, F.count(F.lit(1)).alias("rows")).repartition(self.buckets, "key")
         placed.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-        self.runs.append((name, path, seen.get["rows"], hot))
+        self.runs.append((name, path, seen.get["rows"], hot, most))
 
     @staticmethod
     def _spread(key: Column, block: Column) -> Column:
@@ -138,7 +138,8 @@ class HistoryIndex:
             for name, *_ in old:
                 entries = self.spark.table(name).select("kind", F.coalesce("base", "key").alias("key"), "check", "id")
                 merged = entries if merged is None else merged.unionByName(entries)
-            self._write(merged)
+            bound = sum(run[4] for run in old)
+            self._write(merged, bound if bound <= neardup.BLOCK else None)
             kept, self.runs = self.runs, old
             self.drop()
             self.runs = kept
@@ -153,7 +154,7 @@ class HistoryIndex:
     def windows(self, entries: DataFrame) -> DataFrame:
         """(kind, id, other): for each new entry the history entries at its key."""
         found = None
-        for name, _, _, hot in self.runs:
+        for name, _, _, hot, _ in self.runs:
             mine = entries
             if hot is not None:
                 blocks = entries.join(hot, "key", "left").select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == BAND, F.coalesce("blocks", F.lit(1)) - 1).otherwise(0))).alias("block"))
@@ -227,7 +228,8 @@ class HistoryIndex:
                 refused.append((int(row.id), int(min(seen))))
             else:
                 accepted |= {k: row.id for k in own}
-        return self.spark.createDataFrame(refused, "id long, kept long")
+        ids, kept = zip(*refused) if refused else ((), ())
+        return self.spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.int64())})).coalesce(1)
 
     def _in_rounds(self, records: DataFrame, links: DataFrame) -> DataFrame:
         """In rounds over the whole batch, for batches of any size; as many as the longest chain of records that hang on each other."""
