@@ -57,6 +57,11 @@ def _keys(df: DataFrame, least_key: int, edge: int) -> DataFrame:
     return read.select("ord", paper, F.explode(made).alias("k")).select("ord", "paper", "k.*").where("key is not null")
 
 
+def exclusion_keys(df: DataFrame, least_key: int = 200, edge: int = 160) -> DataFrame:
+    """(kind, key, papers) of the six kinds of keys of all records: how many papers have each."""
+    return _keys(df, least_key, edge).select(F.col("reason").alias("kind"), "key", "paper").distinct().groupBy("kind", "key").agg(F.count("*").alias("papers"))
+
+
 def matches(source: DataFrame, held_out: DataFrame, least_key: int = 200, edge: int = 160) -> DataFrame:
     """(ord, paper, rank, reason, key, held_ord): the keys of source that held-out records have; an edge only if one held-out paper alone has it.
 

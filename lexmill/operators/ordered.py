@@ -70,6 +70,35 @@ def quantiles(df: DataFrame, key: str, value: str, q: float, least: int) -> Data
     return v.select(key, nearest.alias("nearest"), (at(lower) + (at(lower + 1) - at(lower)) * (place - lower)).alias("exclusive"))
 
 
+def ranked(df: DataFrame, coarse: str, fine: list[str], width: int) -> DataFrame:
+    """Df with the rank, from 0, of each row in the order of a number and of further columns, without one task that holds all rows.
+
+    Rows are counted by buckets of that width of the number; a bucket starts at the sum of those before it, taken over blocks of CARRIED
+    buckets and over the blocks; rows are ordered within their bucket only. Rows whose number is null come first, as one bucket.
+    """
+    bucket = F.coalesce(F.floor(F.col(coarse) / width), F.lit(-(1 << 60)))
+    placed = df.withColumn("_bucket", bucket)
+    counts = placed.groupBy("_bucket").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("_bucket") / CARRIED))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("ahead"))
+    starts = counts.withColumn("inside", before(Window.partitionBy("block").orderBy("_bucket"))).join(blocks, "block").select("_bucket", (F.col("inside") + F.col("ahead")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(coarse), *fine)) - 1
+    return placed.join(starts, "_bucket").withColumn("rank", (F.col("_start") + within).cast("long")).drop("_bucket", "_start")
+
+
+def newest_before(df: DataFrame, order: str, value: str, width: int) -> DataFrame:
+    """ST2: df with the greatest value (newest) of all rows before each in order, without one task that holds all rows: the greatest of each
+    bucket of that width is carried over in blocks, only rows of a bucket are ordered. Rows of equal order see each other's predecessors only."""
+    bucket = F.floor(F.col(order) / width)
+    placed = df.where(F.col(order).isNotNull()).withColumn("_bucket", bucket)
+    tops = placed.groupBy("_bucket").agg(F.max(value).alias("top")).withColumn("block", F.floor(F.col("_bucket") / CARRIED))
+    before = lambda w: F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = tops.groupBy("block").agg(F.max("top").alias("top")).select("block", before(Window.orderBy("block")).alias("ahead"))
+    carried = tops.withColumn("inside", before(Window.partitionBy("block").orderBy("_bucket"))).join(blocks, "block").select("_bucket", F.greatest("inside", "ahead").alias("_carried"))
+    own = F.max(value).over(Window.partitionBy("_bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("_own", own).join(carried, "_bucket").withColumn("newest", F.greatest("_own", "_carried")).drop("_bucket", "_own", "_carried")
+
+
 def as_of(left: DataFrame, right: DataFrame, order: str, value: str, width: int) -> DataFrame:
     """Left with the value of the last right row strictly before its order; of equal ones the highest value.
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import curation, features, grading, ledger, search, streams, tables, tasks
+from lexmill.plans import cleaning, curation, features, grading, ledger, records, search, streams, tables, tasks
 
-_MODULES = [curation, search, features, grading, ledger, tables, tasks, streams]
+_MODULES = [curation, search, features, grading, ledger, tables, tasks, streams, cleaning, records]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,13 @@ def hourly(events: DataFrame, late: str = "30 days") -> DataFrame:
     return counted.select(F.col("window.start").alias("hour"), "event_type", "n", "value")
 
 
+def sliding(events: DataFrame, late: str = "30 days") -> DataFrame:
+    """ST4: windows of an hour every half hour, with a watermark."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = timed.groupBy(F.window("ts", "1 hour", "30 minutes"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return counted.select(F.col("window.start").alias("hour"), "event_type", "n", "value")
+
+
 def latest(events: DataFrame, key: str, version: str, arrival: str, keep: list[str]) -> DataFrame:
     """W1 as a running aggregate: one row of state a key."""
     best = F.max_by(F.struct(*keep), F.struct(F.col(version), -F.col(arrival)))

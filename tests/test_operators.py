@@ -157,6 +157,46 @@ def test_as_of_is_strict(spark):
     assert got == {1: None, 5: None, 6: 2, 10: 2, 11: 3, 90: 4, 5000: 4, 50_000: 4}
 
 
+def test_ranks_and_newest_over_buckets(spark):
+    rows = [(i, (i * 37) % 101 if i % 13 else None, f"n{i % 7}") for i in range(500)]
+    df = spark.createDataFrame(rows, "seq long, block long, name string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0]))
+    got = {r.seq: r["rank"] for r in ordered.ranked(df, "block", ["name", "seq"], 10).collect()}
+    assert got == {r[0]: k for k, r in enumerate(order)}
+    assert ordered.ranked(df.limit(0), "block", ["seq"], 10).count() == 0
+    times = spark.createDataFrame([(i, (i * 53) % 97) for i in range(300)] + [(None, 5)], "o long, t long").repartition(4)
+    want, held = {}, None
+    for i in range(300):
+        want[i] = held
+        held = max((i * 53) % 97, -1 if held is None else held)
+    assert {r.o: r.newest for r in ordered.newest_before(times, "o", "t", 16).collect()} == want
+
+
+def test_seeded_draw_is_the_generators(spark):
+    from lexmill.plans import records
+    from tests.conftest import DATA
+
+    wide = DATA.replace("sf0.001", "sf0.01")
+    got = {r.task_id: r.turn for r in records.task_seeded_draw(spark, wide).collect()}
+    ids = sorted({r.task_id for r in spark.read.parquet(f"{wide}/tasks.parquet").select("task_id").collect()}, key=lambda t: (int(hashlib.md5(t.encode()).hexdigest()[:4], 16), t))
+    drawn = np.random.default_rng(stats.seed_of("public", "1")).choice(len(ids), records.DRAWN, replace=False)
+    assert got == {ids[x]: i for i, x in enumerate(drawn)}
+
+
+def test_cleaning_of_odd_fields(spark, tmp_path):
+    from lexmill.plans import cleaning
+
+    titles = ["<i>A</i>  &lt;b&gt; &amp; c", None, "", "ﬁeld|`x`\u200b <y>", "The  Cells in <sub>a", "An apple", "A" * 300]
+    spark.createDataFrame([(i, f"d{i}", None, t, "x", None) for i, t in enumerate(titles)], "ord long, doc_id string, url string, title string, text string, extra string").write.parquet(str(tmp_path / "docs.parquet"))
+    clean = {r.ord: r.title for r in cleaning.text_clean_markup(spark, str(tmp_path)).collect()}
+    assert clean == {0: "A <b> & c", 2: "", 3: "ﬁeld|`x`\u200b", 4: "The Cells in a", 5: "An apple", 6: "A" * 300}
+    fields = {r.ord: r.field for r in cleaning.text_sanitized_fields(spark, str(tmp_path)).collect()}
+    assert fields[3] == "fieldx y" and fields[2] == "" and len(fields[6]) == 200 and 1 not in fields
+    assert {r.ord: r.lowered for r in cleaning.text_articles(spark, str(tmp_path)).collect()} == {4: "the  Cells in <sub>a", 5: "an apple"}
+    keys = {(r.kind, r.key): r.papers for r in cleaning.curate_exclusion_keys(spark, str(tmp_path)).collect()}
+    assert keys["doc_id", "d0"] == 1 and keys["title", "anapple"] == 1 and not any(kind == "abstract" for kind, _ in keys)
+
+
 def test_rolled_digests(spark):
     rows = spark.createDataFrame([("a", i, f"t{i}") for i in range(50)] + [("b", 1, ""), ("c", 1, None)], "k string, o int, t string").repartition(7)
     lines = {r.k: (r.digest, r.n) for r in ordered.rolled(rows, "k", "o", "t", "lines").collect()}
