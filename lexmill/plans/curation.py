@@ -104,18 +104,6 @@ _IDENTIFIER = """CASE
   WHEN regexp_extract(lower(coalesce(url, '')), '(10[.][0-9]{4,9}/[^ ?#&]+)', 1) <> '' THEN 'doi:' || regexp_replace(regexp_extract(lower(url), '(10[.][0-9]{4,9}/[^ ?#&]+)', 1), '/+$', '')
   WHEN regexp_extract(lower(coalesce(url, '')), '/(w[0-9]{6,})', 1) <> '' THEN 'work:' || regexp_extract(lower(url), '/(w[0-9]{6,})', 1)
   WHEN regexp_extract(lower(coalesce(url, '')), '/pm/([0-9]{5,})', 1) <> '' THEN 'paper:' || regexp_extract(lower(url), '/pm/([0-9]{5,})', 1) END"""
-_FOLD = "regexp_replace(lower(regexp_replace({}, '<[^<>]*>', ' ', 'g')), '[^a-z0-9]+', '', 'g')"
-_EXCLUDED = f"""
-  WITH folded AS (SELECT ord, batch, doc_id, {_IDENTIFIER} AS ident, nullif({_FOLD.format('title')}, '') AS title, {_FOLD.format('text')} AS body FROM docs),
-  keys AS (
-    SELECT ord, batch, 1 AS rank, 'doc_id' AS reason, doc_id AS key FROM folded UNION ALL
-    SELECT ord, batch, 2, 'identifier', ident FROM folded UNION ALL SELECT ord, batch, 3, 'title', title FROM folded UNION ALL
-    SELECT ord, batch, 4, 'abstract', body FROM folded WHERE length(body) >= 200),
-  found AS (
-    SELECT k.ord, arg_min(k.reason, k.rank) AS reason FROM keys k
-    WHERE k.batch > 0 AND k.key IS NOT NULL AND EXISTS (SELECT 1 FROM keys o WHERE o.batch = 0 AND o.rank = k.rank AND o.key = k.key) GROUP BY k.ord)
-"""
-
 SQL = {
     "curate_normalized_text": """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'),
         ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS normalized FROM documents""",
@@ -126,13 +114,6 @@ SQL = {
     "curate_accepted": _REASON + "SELECT min(ord) AS ord FROM judged WHERE reason IS NULL GROUP BY text ORDER BY 1 LIMIT 500",
     "curate_corpus_ids": "SELECT doc_id, ord, CAST(length(text) AS BIGINT) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM docs WHERE text IS NOT NULL AND text <> '') WHERE r = 1",
     "curate_identifiers": f"SELECT * FROM (SELECT ord, {_IDENTIFIER} AS identifier FROM docs) WHERE identifier IS NOT NULL",
-    "curate_excluded": _EXCLUDED + "SELECT ord, reason FROM found",
-    "curate_disjoint": _EXCLUDED + """SELECT reason, count(*) AS n FROM keys k WHERE batch > 0 AND ord NOT IN (SELECT ord FROM found) AND key IS NOT NULL
-        AND EXISTS (SELECT 1 FROM keys o WHERE o.batch = 0 AND o.rank = k.rank AND o.key = k.key) GROUP BY reason""",
-    "curate_unique_edges": f"""WITH f AS (SELECT ord, batch > 0 AS new, {_FOLD.format('text')} AS b FROM docs), e AS (
-        SELECT ord, new, 'start' AS side, left(b, 160) AS part FROM f WHERE length(b) >= 160 UNION ALL SELECT ord, new, 'end', right(b, 160) FROM f WHERE length(b) >= 160),
-        u AS (SELECT new, side, part, min(ord) AS ord FROM e GROUP BY 1, 2, 3 HAVING count(*) = 1)
-        SELECT a.side, a.ord AS source_ord, o.ord AS held_out_ord FROM u a JOIN u o ON a.new AND NOT o.new AND a.side = o.side AND a.part = o.part""",
     "curate_content_id": "SELECT ord, 'ep-' || substring(sha256(coalesce(title, '') || chr(10) || text), 1, 16) AS content_id FROM docs WHERE text IS NOT NULL",
     "curate_category_parts": """SELECT trim(string_split(string_split(lower(category), '|')[1], ':')[-1]) AS field, CASE WHEN contains(category, '|') THEN string_split(lower(category), '|')[-1] ELSE '' END AS domain, count(*) AS n
         FROM docs WHERE category IS NOT NULL GROUP BY 1, 2""",

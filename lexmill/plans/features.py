@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import parse
 from lexmill.functions import text as T
 from lexmill.operators import curation, search
+from lexmill.plans import search as search_plans
 from lexmill.session import table
 
 # Cue words of findings, and terms that name how a study was done.
@@ -64,14 +65,14 @@ def feature_range_neighbours(spark, d):
 
 
 def feature_sentence_counts(spark, d):
-    """Sentences of at least 20 characters by document."""
-    pieces = T.sentences(T.ascii_view(F.col("text")))
+    """Sentences of at least 20 characters by document; wide end marks need no blank behind them."""
+    pieces = F.split(F.regexp_replace("text", "([.!?।؟۔])[ \\t\\r\\n]+|([。！？])", "$1$2" + T.FOLLOWING), T.FOLLOWING)
     return table(spark, d, "documents").select("doc_id", F.size(F.filter(pieces, lambda s: F.length(F.trim(s)) >= 20)).cast("long").alias("sentences"))
 
 
 def feature_topic_words(spark, d):
-    """Documents by word of at least four letters, in the band of 5 to 2000."""
-    words = F.array_distinct(F.filter(T.tokens(T.ascii_view(F.col("text"))), lambda w: w.rlike("^[a-z]{4,}$")))
+    """Documents by word of at least four letters, of whatever script, in the band of 5 to 2000."""
+    words = F.array_distinct(F.filter(T.words(F.col("text")), lambda w: w.rlike("^\\p{L}{4,}$")))
     return table(spark, d, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("documents")).where("documents between 5 and 2000")
 
 
@@ -94,9 +95,15 @@ def entity_anchors(spark, d):
 
 
 def entity_cross_documents(spark, d):
-    """Not J7, which is not built: for each entity only how many pairs of documents could be joined by it."""
-    n = F.col("documents")
-    return _entities(spark, d).groupBy("term").agg(F.count("*").alias("documents")).where("documents >= 2").select("term", (n * (n - 1) / 2).cast("long").alias("pairs"))
+    """Documents joined over an entity: it stands in one (anchor), and another (gold) is among the five best hits for it and states a
+    percentage in a sentence with it. Entities are those of 2 to 60 documents, which bounds the rows of each."""
+    corpus, edges = _corpus(spark, d), _entities(spark, d)
+    terms = entity_bands(spark, d).select("term")
+    hits = search.bm25(corpus, terms.select(F.col("term").alias("qid"), F.col("term").alias("query")), 5)
+    pieces = corpus.select("doc_id", F.explode(T.sentences(T.ascii_view(F.col("text")))).alias("sentence"))
+    stated = pieces.select("doc_id", "sentence", F.array_max(T.percentages(F.col("sentence"))).alias("value")).where("value is not null")
+    gold = hits.join(stated, "doc_id").where(F.col("sentence").contains(F.col("qid"))).groupBy(F.col("qid").alias("term"), F.col("doc_id").alias("gold"), "rank").agg(F.max("value").alias("value"))
+    return gold.join(edges.select("term", F.col("doc_id").alias("anchor")), "term").where("anchor <> gold").select("term", "anchor", "gold", "rank", "value")
 
 
 def text_last_action(spark, d):
@@ -143,9 +150,10 @@ _CUE_LIST = ", ".join(f"'{c}'" for c in CUES)
 _CUE = f"""sents AS (SELECT doc_id, unnest(string_split(regexp_replace(plain, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM corpus),
   valued AS (SELECT doc_id, lower(s) AS low, {_PERCENT.format("s")} AS value FROM sents),
   cues AS (SELECT doc_id, cue, max(value) AS value FROM valued, (SELECT unnest([{_CUE_LIST}]) AS cue) WHERE value IS NOT NULL AND contains(low, cue) GROUP BY 1, 2)"""
-_ENTITY = f"""flat AS (SELECT doc_id, ' ' || regexp_replace(plain, '[^A-Za-z0-9-]+', '  ', 'g') || ' ' AS p FROM corpus),
+_EDGES = f"""flat AS (SELECT doc_id, ' ' || regexp_replace(plain, '[^A-Za-z0-9-]+', '  ', 'g') || ' ' AS p FROM corpus),
   edges AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(p, ' ([A-Z][A-Z0-9]{{2,5}}) ', 1)) AS term FROM flat UNION ALL SELECT doc_id, unnest(regexp_extract_all(p, ' ([a-z]{{4,}}(-[a-z]{{3,}}){{1,2}}) ', 1)) FROM flat)
-    WHERE term NOT IN ({", ".join(f"'{t}'" for t in METHOD_TERMS)})),
+    WHERE term NOT IN ({", ".join(f"'{t}'" for t in METHOD_TERMS)}))"""
+_ENTITY = f"""{_EDGES},
   banded AS (SELECT e.* FROM edges e JOIN (SELECT term FROM edges GROUP BY term HAVING count(*) BETWEEN 2 AND 40) USING (term)),
   met AS (SELECT a.term AS x, b.term AS y, min(a.doc_id) AS doc_id FROM banded a JOIN banded b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2 HAVING count(*) = 1)"""
 
@@ -155,14 +163,19 @@ SQL = {
     "feature_cue_percent": f"WITH {_CORPUS}, {_CUE} SELECT doc_id, cue, value FROM cues",
     "feature_cue_field": f"WITH {_CORPUS}, {_CUE}, tops AS (SELECT cue, count(*) AS documents, max(value) AS top FROM cues GROUP BY 1) SELECT cue, documents, top, count(*) FILTER (value = top) AS winners FROM cues JOIN tops USING (cue) GROUP BY ALL",
     "feature_range_neighbours": f"WITH {_CORPUS}, {_PROFILE}, s AS (SELECT sample_size, count(*) AS n FROM profile WHERE sample_size IS NOT NULL GROUP BY 1) SELECT a.sample_size, CAST(sum(b.n) AS BIGINT) AS documents FROM s a JOIN s b ON b.sample_size BETWEEN a.sample_size - 5 AND a.sample_size + 5 GROUP BY 1",
-    "feature_sentence_counts": "SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(regexp_replace(text, '[^ -~]', ' ', 'g'), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) >= 20)) AS BIGINT) AS sentences FROM documents",
-    "feature_topic_words": "SELECT word, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '([a-z0-9]+)', 1), lambda w: regexp_full_match(w, '[a-z]{4,}'))) AS word FROM documents) GROUP BY 1 HAVING count(*) BETWEEN 5 AND 2000",
+    "feature_sentence_counts": "SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?।؟۔])[ \\t\\r\\n]+|([。！？])', '\\1\\2' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) >= 20)) AS BIGINT) AS sentences FROM documents",
+    "feature_topic_words": f"SELECT word, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest(list_filter({search_plans._words('text')}, lambda w: regexp_full_match(w, '\\p{{L}}{{4,}}'))) AS word FROM documents) GROUP BY 1 HAVING count(*) BETWEEN 5 AND 2000",
     "entity_bands": f"WITH {_CORPUS}, {_ENTITY} SELECT term, count(*) AS documents FROM edges GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60",
     "entity_sole_meetings": f"WITH {_CORPUS}, {_ENTITY} SELECT x, y, doc_id FROM met",
     "entity_anchors": f"WITH {_CORPUS}, {_ENTITY} SELECT m.x, m.y, min(e.doc_id) AS anchor FROM met m JOIN edges e ON e.term = m.x AND e.doc_id <> m.doc_id GROUP BY 1, 2",
-    "entity_cross_documents": f"WITH {_CORPUS}, {_ENTITY} SELECT term, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS pairs FROM edges GROUP BY 1 HAVING count(*) >= 2",
+    "entity_cross_documents": search_plans._ASKED.replace(
+        search_plans._QUESTIONS, "plains AS (SELECT doc_id, text, regexp_replace(text, '[^ -~]', ' ', 'g') AS plain FROM corpus), " + _EDGES.replace("FROM corpus", "FROM plains")
+        + ", questions AS (SELECT term AS qid, term AS query FROM edges GROUP BY term HAVING count(*) BETWEEN 2 AND 60)",
+    ) + search_plans._RANKED.format(mask="") + f""", sents AS (SELECT doc_id, unnest(string_split(regexp_replace(plain, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM plains),
+        stated AS (SELECT * FROM (SELECT doc_id, s, {_PERCENT.format("s")} AS value FROM sents) WHERE value IS NOT NULL),
+        gold AS (SELECT r.qid, r.doc_id, r.rank, max(value) AS value FROM ranked r JOIN stated USING (doc_id) WHERE r.rank <= 5 AND contains(s, r.qid) GROUP BY ALL)
+        SELECT g.qid AS term, e.doc_id AS anchor, g.doc_id AS gold, g.rank, g.value FROM gold g JOIN edges e ON e.term = g.qid AND e.doc_id <> g.doc_id""",
     "text_last_action": "SELECT * FROM (SELECT doc_id, CAST(len(a) AS BIGINT) AS actions, a[-1] AS last, c[-1] AS content FROM (SELECT doc_id, regexp_extract_all(text, '<(search|browse|answer)>([^<]*)</', 1) AS a, regexp_extract_all(text, '<(search|browse|answer)>([^<]*)</', 2) AS c FROM documents)) WHERE actions > 0",
-    "text_chunks": "SELECT doc_id, CAST(ceil(length(text) / 3500) AS BIGINT) AS chunks, CAST((length(text) - 1) % 3500 + 1 AS BIGINT) AS last_chars FROM documents WHERE length(text) > 0",
     "text_number_aliases": "SELECT DISTINCT task_id, CAST(replace(answer, ',', '') AS BIGINT) AS value FROM tasks WHERE regexp_full_match(answer, '[0-9]{1,3}(,[0-9]{3})+')",
     "text_claim_window": f"WITH {_CORPUS} SELECT * FROM (SELECT doc_id, regexp_replace(regexp_extract(trim(regexp_replace(plain, '[ \\t\\r\\n]+', ' ', 'g')), '((?:[^ ]+ ){{0,4}})[0-9]{{1,2}}[.][0-9]+ ?%((?: [^ ]+){{0,4}})', 0), '[0-9]+', 'N', 'g') AS \"window\" FROM corpus) WHERE \"window\" <> ''",
 }

@@ -96,9 +96,10 @@ _BASE = f"""
   postings AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM words) GROUP BY ALL),
   freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term)
 """
+_QUESTIONS = "questions AS (SELECT task_id AS qid, min(question) AS query FROM tasks WHERE question IS NOT NULL GROUP BY 1)"
 _ASKED = _BASE + f""",
   stats AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM words),
-  questions AS (SELECT task_id AS qid, min(question) AS query FROM tasks WHERE question IS NOT NULL GROUP BY 1),
+  {_QUESTIONS},
   parts AS (SELECT qid, unnest(list_filter(list_transform(string_split_regex(query, '[ \\t\\r\\n]+'), lambda x: regexp_replace(x, '^"+|"+$', '', 'g')), lambda x: x <> '')[1:{search.MOST_TERMS}]) AS part FROM questions),
   terms AS (SELECT qid, term FROM (SELECT qid, array_to_string({_words("part")}, ' ') AS term FROM parts) WHERE term <> ''),
   phrases AS (SELECT DISTINCT term, ' ' || replace(term, ' ', '  ') || ' ' AS pattern FROM terms WHERE contains(term, ' ')),
