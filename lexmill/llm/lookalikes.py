@@ -48,15 +48,17 @@ def _pairs(table: str) -> list[tuple[str, str]]:
     return [(c, pair[0]) for pair in table.split() for c in pair[2:]]
 
 
-_RARE, _LIVING = frozenset(c for c, _ in _pairs(RARE_LOOKALIKES)), frozenset(c for c, _ in _pairs(LIVING_LOOKALIKES))
-_LATIN_OF = dict(_pairs(RARE_LOOKALIKES + LOOKALIKES))
+#: By rule: small capitals and the letters that they are the capitals of.
+_SMALL_CAPITALS = {chr(p): name[-1].lower() for p in range(0x250, 0xA800) if (name := unicodedata.name(chr(p), "")).startswith("LATIN LETTER SMALL CAPITAL ") and name[-2] == " "}
+_RARE, _LIVING = frozenset(c for c, _ in _pairs(RARE_LOOKALIKES)).union(_SMALL_CAPITALS), frozenset(c for c, _ in _pairs(LIVING_LOOKALIKES))
+_LATIN_OF = _SMALL_CAPITALS | dict(_pairs(RARE_LOOKALIKES + LOOKALIKES))
 _CLASS_OF = {c: pair[0] + pair[2:] for pair in LOOKALIKES.split() for c in pair[0] + pair[2:]}
 _PHONETIC = "ɑɡ"
 #: Letters that a Russian writer would use: the aim of Latin letters in a Cyrillic word.
 _CYRILLIC_OF = {pair[0]: c for pair in LOOKALIKES.split() for c in pair[2:] if "А" <= c <= "я"}
 _CYRILLIC_OF |= {c: _CYRILLIC_OF[a] for c, a in _pairs(RARE_LOOKALIKES) if a in _CYRILLIC_OF}
 # rare letters are left for Latin ones, or Cyrillic ones beside Cyrillic, never put in their place
-for _c, _a in _pairs(RARE_LOOKALIKES + LIVING_LOOKALIKES):
+for _c, _a in [*_pairs(RARE_LOOKALIKES + LIVING_LOOKALIKES), *_SMALL_CAPITALS.items()]:
     _CLASS_OF[_c] = _CLASS_OF.get(_c, _c) + _a
 
 
