@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lexmill.operators.pairs import sharing
 from lexmill.storage import materialize
 
 HASHES, BANDS, SIMILARITY = 64, 16, 0.85
@@ -28,9 +29,7 @@ def alike_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = SI
     rows = HASHES // BANDS
     keys = F.array(*[F.xxhash64(F.lit(b), *low[b * rows : (b + 1) * rows]) for b in range(BANDS)])
     entries = made.select("id", F.explode(keys).alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = materialize(entries.join(shared, "key"), "band-keys")
-    pairs = held.toDF("key", "a").join(held.toDF("key", "b"), "key").where("a < b").select("a", "b").distinct()
+    pairs = sharing(entries)
     both = pairs.join(made.toDF("a", "sa"), "a").join(made.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")

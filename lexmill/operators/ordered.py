@@ -70,20 +70,23 @@ def quantiles(df: DataFrame, key: str, value: str, q: float, least: int) -> Data
     return v.select(key, nearest.alias("nearest"), (at(lower) + (at(lower + 1) - at(lower)) * (place - lower)).alias("exclusive"))
 
 
-def ranked(df: DataFrame, coarse: str, fine: list[str], width: int) -> DataFrame:
-    """Df with the rank, from 0, of each row in the order of a number and of further columns, without one task that holds all rows.
+def ranked(df: DataFrame, coarse: str, fine: list[str], width: int, key: str | None = None) -> DataFrame:
+    """Df with the rank, from 0, of each row, within its key if there is one, in the order of a number and of further columns, without
+    one task that holds all rows of a hot key.
 
     Rows are counted by buckets of that width of the number; a bucket starts at the sum of those before it, taken over blocks of CARRIED
     buckets and over the blocks; rows are ordered within their bucket only. Rows whose number is null come first, as one bucket.
     """
-    bucket = F.coalesce(F.floor(F.col(coarse) / width), F.lit(-(1 << 60)))
-    placed = df.withColumn("_bucket", bucket)
-    counts = placed.groupBy("_bucket").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("_bucket") / CARRIED))
+    own = F.col(key) if key else F.lit(None).cast("string")
+    placed = df.withColumn("_bucket", F.coalesce(F.floor(F.col(coarse) / width), F.lit(-(1 << 60)))).withColumn("_key", own)
+    counts = placed.groupBy("_key", "_bucket").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("_bucket") / CARRIED))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("ahead"))
-    starts = counts.withColumn("inside", before(Window.partitionBy("block").orderBy("_bucket"))).join(blocks, "block").select("_bucket", (F.col("inside") + F.col("ahead")).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(coarse), *fine)) - 1
-    return placed.join(starts, "_bucket").withColumn("rank", (F.col("_start") + within).cast("long")).drop("_bucket", "_start")
+    blocks = counts.groupBy("_key", "block").agg(F.sum("n").alias("n")).select(F.col("_key").alias("k"), F.col("block").alias("b"), before(Window.partitionBy("_key").orderBy("block")).alias("ahead"))
+    inside = counts.withColumn("inside", before(Window.partitionBy("_key", "block").orderBy("_bucket")))
+    starts = inside.join(blocks, F.col("_key").eqNullSafe(F.col("k")) & (F.col("block") == F.col("b"))).select(F.col("_key").alias("k"), F.col("_bucket").alias("b"), (F.col("inside") + F.col("ahead")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_key", "_bucket").orderBy(F.col(coarse), *fine)) - 1
+    joined = placed.withColumn("_within", within).join(starts, F.col("_key").eqNullSafe(F.col("k")) & (F.col("_bucket") == F.col("b")))
+    return joined.withColumn("rank", (F.col("_start") + F.col("_within")).cast("long")).drop("_bucket", "_start", "_key", "_within", "k", "b")
 
 
 def newest_before(df: DataFrame, order: str, value: str, width: int) -> DataFrame:

@@ -13,7 +13,7 @@ from lexmill.session import table
 # Entities that publishers leave in titles; the number words from 0 to 20.
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
-TITLE_LENGTHS = (20, 300)
+TITLE_LENGTHS = (20, 200)
 _RESIDUE, _FUSED = "(^|[ ])/?(i|b|sub|sup|em|strong|scp|it)([ ]|$)", "[a-z]{3}[A-Z][a-z]{3}"
 _FACT = "[A-Z][A-Za-z]*(?: [A-Za-z]+){0,5}? was [a-z]+(?: [a-z]+){0,3}? in (?:the )?[A-Z0-9][A-Za-z0-9]*"
 _GROUPS = "^([A-Z][A-Za-z]*(?: [A-Za-z]+){0,5}?) was ([a-z]+(?: [a-z]+){0,3}?) in (?:the )?([A-Z0-9][A-Za-z0-9]*)$"

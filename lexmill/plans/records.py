@@ -14,6 +14,8 @@ from lexmill.plans import search as search_plans
 from lexmill.session import table
 from lexmill.streaming import tables as streams
 
+#: Characters of an answer, at most; signs that may not stand in one.
+MOST_ANSWER, MARKUP = 200, "[<>{}\\[\\]`|\\n]"
 SEATS, STRIDE, DRAWN, LATE_DAYS = 3, 50, 100, 10
 
 
@@ -103,6 +105,32 @@ def evidence_sets(spark, d):
     return t.select("task_id", F.size(F.array_intersect("e", "m")).cast("long").alias("masked"), F.size(F.array_except("e", "m")).cast("long").alias("open"))
 
 
+def qa_failures(spark, d):
+    """what is wrong with each task, as a list of tokens: first its form; of well-formed ones whether the evidence is there, holds the answer
+    or an alias, and is left by the mask. A task that passes has an empty list."""
+    names = [c for c in ("question", "answer", "aliases", "evidence_doc_ids", "masked_doc_ids")]
+    none = F.array().cast("array<string>")
+    t = table(spark, d, "tasks").groupBy("task_id").agg(F.min(F.struct(*names)).alias("t")).select("task_id", "t.*")
+    t = t.select("task_id", F.trim(F.coalesce("answer", F.lit(""))).alias("a"), F.coalesce("question", F.lit("")).alias("q"), F.coalesce("aliases", none).alias("aliases"), F.array_distinct(F.coalesce("evidence_doc_ids", none)).alias("e"), F.coalesce("masked_doc_ids", none).alias("m"))
+    form = F.array_compact(F.array(
+        F.when(F.col("a") == "", "answer_empty").when(F.length("a") > MOST_ANSWER, "answer_too_long"), F.when(F.col("a").rlike(MARKUP), "answer_markup"),
+        F.when(F.trim("q") == "", "question_empty"), F.when(F.size("e") == 0, "evidence_empty"),
+    ))
+    t = t.withColumn("form", form)
+    fold = lambda c: F.lower(F.regexp_replace(c, "[ \\t\\r\\n]+", " "))
+    texts = table(spark, d, "docs").where("text is not null").groupBy("doc_id").agg(F.min_by("text", "ord").alias("text"))
+    accepted = F.filter(F.transform(F.concat(F.array("a"), "aliases"), fold), lambda x: F.coalesce(x, F.lit("")) != "")
+    named = t.where(F.size("form") == 0).select("task_id", accepted.alias("accepted"), F.explode("e").alias("doc_id")).join(texts, "doc_id", "left")
+    text = fold(F.col("text"))
+    read = named.groupBy("task_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("text").isNull(), F.concat(F.lit("evidence_missing:"), "doc_id")))).alias("missing"),
+        F.max(F.coalesce(F.exists("accepted", lambda x: F.contains(text, x)), F.lit(False))).alias("hit"),
+    )
+    found = F.array_compact(F.array(F.when(~F.col("hit") & (F.size("missing") == 0), "answer_not_in_evidence"), F.when(F.size(F.array_except("e", "m")) == 0, "mask_unsolvable")))
+    failures = F.when(F.size("form") > 0, F.col("form")).otherwise(F.concat("missing", found))
+    return t.join(read, "task_id", "left").select("task_id", F.array_join(failures, ",").alias("failures"))
+
+
 def alias_lists(spark, d):
     """The different aliases of each task in the order in which they stand there."""
     t = table(spark, d, "tasks").where("size(aliases) > 0").select("task_id", F.array_distinct("aliases").alias("a")).distinct()
@@ -182,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ledger_final_verdicts, ledger_heard, ledger_succession, ledger_submissions, ledger_replaced, ledger_pointer, ledger_places, ledger_roster, ledger_stride, task_seeded_draw, sets_equal, evidence_sets,
-        alias_lists, determinism, divergence, task_completeness, record_digests, corpus_digest, retrieval_diagnostics, masked_lookup, stream_events_sliding, records_late,
+        qa_failures, alias_lists, determinism, divergence, task_completeness, record_digests, corpus_digest, retrieval_diagnostics, masked_lookup, stream_events_sliding, records_late,
     )
 }
 
@@ -200,6 +228,15 @@ SQL = {
     "ledger_stride": _B + f", r AS (SELECT seq, row_number() OVER (ORDER BY block, seq) - 1 AS rank, count(*) OVER () AS n FROM e) SELECT seq, rank FROM r WHERE n <= {STRIDE} OR rank IN (SELECT (i * n) // {STRIDE} FROM range({STRIDE}) t(i))",
     "sets_equal": "WITH t AS (SELECT DISTINCT task_id FROM tasks), r AS (SELECT DISTINCT task_id FROM rollouts WHERE task_id IS NOT NULL), c AS (SELECT (SELECT count(*) FROM t WHERE task_id NOT IN (SELECT task_id FROM r)) AS untried, (SELECT count(*) FROM r WHERE task_id NOT IN (SELECT task_id FROM t)) AS unknown) SELECT untried, unknown, untried = 0 AND unknown = 0 AS equal FROM c",
     "evidence_sets": "SELECT task_id, len(list_distinct(list_intersect(e, m))) AS masked, len(list_distinct(list_filter(e, lambda x: NOT list_contains(m, x)))) AS open FROM (SELECT DISTINCT task_id, coalesce(evidence_doc_ids, []) AS e, coalesce(masked_doc_ids, []) AS m FROM tasks)",
+    "qa_failures": f"""WITH t AS (SELECT task_id, trim(coalesce(answer, '')) AS a, coalesce(question, '') AS q, coalesce(aliases, []) AS aliases, list_distinct(coalesce(evidence_doc_ids, [])) AS e, coalesce(masked_doc_ids, []) AS m
+          FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY question NULLS FIRST, answer NULLS FIRST, aliases NULLS FIRST) AS k FROM tasks) WHERE k = 1),
+        f AS (SELECT *, list_filter([CASE WHEN a = '' THEN 'answer_empty' WHEN length(a) > {MOST_ANSWER} THEN 'answer_too_long' END, CASE WHEN regexp_matches(a, '{MARKUP}') THEN 'answer_markup' END,
+          CASE WHEN trim(q) = '' THEN 'question_empty' END, CASE WHEN len(e) = 0 THEN 'evidence_empty' END], lambda x: x IS NOT NULL) AS form FROM t),
+        x AS (SELECT doc_id, lower(regexp_replace(arg_min(text, ord), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM docs WHERE text IS NOT NULL GROUP BY 1),
+        n AS (SELECT task_id, list_filter(list_transform(list_concat([a], aliases), lambda v: lower(regexp_replace(v, '[ \\t\\r\\n]+', ' ', 'g'))), lambda v: coalesce(v, '') <> '') AS accepted, unnest(e) AS doc_id FROM f WHERE len(form) = 0),
+        r AS (SELECT task_id, list_sort(list(CASE WHEN text IS NULL THEN 'evidence_missing:' || n.doc_id END) FILTER (text IS NULL)) AS missing, bool_or(coalesce(len(list_filter(accepted, lambda v: contains(text, v))) > 0, false)) AS hit FROM n LEFT JOIN x USING (doc_id) GROUP BY 1)
+        SELECT task_id, array_to_string(CASE WHEN len(form) > 0 THEN form ELSE list_concat(coalesce(missing, []), list_filter([CASE WHEN NOT hit AND coalesce(len(missing), 0) = 0 THEN 'answer_not_in_evidence' END,
+          CASE WHEN len(list_filter(e, lambda v: NOT list_contains(m, v))) = 0 THEN 'mask_unsolvable' END], lambda v: v IS NOT NULL)) END, ',') AS failures FROM f LEFT JOIN r USING (task_id)""",
     "alias_lists": "SELECT DISTINCT task_id, array_to_string(list_transform(list_filter(aliases, lambda x, i: list_position(aliases, x) = i), lambda x: coalesce(x, '-')), '|') AS aliases FROM tasks WHERE len(aliases) > 0",
     "determinism": f"""WITH {_R}, p AS (SELECT model, phase, task_id, count(*) AS n, min(rollout_id) AS a, max(rollout_id) AS b FROM r WHERE task_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
         SELECT p.model, p.phase, count(*) AS tasks, round(avg((x.answer IS NOT DISTINCT FROM y.answer)::INT), 6) AS agreement, round(avg((x.correct IS DISTINCT FROM y.correct)::INT), 6) AS flips, round(sum(y.wall_time_s) / sum(x.wall_time_s), 6) AS time_ratio

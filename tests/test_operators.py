@@ -172,6 +172,17 @@ def test_ranks_and_newest_over_buckets(spark):
     assert {r.o: r.newest for r in ordered.newest_before(times, "o", "t", 16).collect()} == want
 
 
+def test_pairs_in_blocks(spark):
+    from lexmill.operators import pairs
+
+    entries = [(i, "hot") for i in range(40)] + [(i, f"k{i % 9}") for i in range(30)] + [(1, None), (None, "hot")]
+    df = spark.createDataFrame(entries, "id long, key string").repartition(6)
+    want = {(a, b) for a, k in entries for b, m in entries if k is not None and k == m and a is not None and b is not None and a < b}
+    for block in (3, 7, 1_000):
+        assert {tuple(r) for r in pairs.sharing(df, block).collect()} == want
+    assert pairs.sharing(df.limit(0)).count() == 0
+
+
 def test_seeded_draw_is_the_generators(spark):
     from lexmill.plans import records
     from tests.conftest import DATA
