@@ -16,7 +16,7 @@ from lexmill.streaming import tables as streams
 
 #: Characters of an answer, at most; signs that may not stand in one.
 MOST_ANSWER, MARKUP = 200, "[<>{}\\[\\]`|\\n]"
-SEATS, STRIDE, DRAWN, LATE_DAYS = 3, 50, 100, 10
+SEATS, STRIDE, DRAWN, LATE_DAYS = 3, 50, 20, 10
 
 
 def _events(spark, d, kind):
