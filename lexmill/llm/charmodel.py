@@ -56,15 +56,15 @@ def _add(total: np.ndarray, words: list[str]) -> None:
         total[offset : offset + size] += np.bincount(slots, minlength=size)
 
 
-def train(values: DataFrame, pick: Callable[[str], tuple[list[str], list[str]]]) -> tuple["CharModel", DataFrame]:
+def train(values: DataFrame, pick: Callable[[str], tuple[list[str], list[str], list[str]]]) -> tuple["CharModel", DataFrame]:
     """(a model over the one column of values; the different wide words, (fold, word)). pick tells which words of a value that is not
-    ASCII count, as (plain ones, wide ones): only wide ones are counted as words and by fold.
+    ASCII count, as (plain ones, wide ones, traced ones): wide ones are counted by fold and as words too, traced ones as words only.
 
     One pass: tasks add up counts by slot, those of wide words by fold too, and name their wide words once each.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, wide = np.zeros(POINTS + PAIRS + TRIPLES, np.int64), Counter()
+        total, wide, traced = np.zeros(POINTS + PAIRS + TRIPLES, np.int64), Counter(), Counter()
         for batch in batches:
             plain: list[str] = []
             for text in batch.column(0).to_pylist():
@@ -73,9 +73,10 @@ def train(values: DataFrame, pick: Callable[[str], tuple[list[str], list[str]]])
                 if text.isascii():
                     plain += text.split()
                 else:
-                    more, special = pick(text)
+                    more, special, odd = pick(text)
                     plain += more
                     wide.update(special)
+                    traced.update(map(word_number, odd))
                 if len(plain) > 20_000:
                     _add(total, plain)
                     plain = []
@@ -85,6 +86,9 @@ def train(values: DataFrame, pick: Callable[[str], tuple[list[str], list[str]]])
                 yield from emitted(None, wide)
                 wide = Counter()
         yield from emitted(total, wide)
+        if traced:
+            numbers = np.array(list(traced))
+            yield rows(-1, *_summed([POINTS + PAIRS + TRIPLES + numbers // FOLDS % WORDS], [np.array(list(traced.values()))]))
 
     def emitted(total: np.ndarray | None, wide: Counter) -> Iterator[pa.RecordBatch]:
         if total is not None:
@@ -143,9 +147,9 @@ class CharModel:
         """How often the word, but for signs and letter case, stands in the text."""
         return float(self.words[word_number(word) // FOLDS % WORDS])
 
-    def new_characters(self, word: str, other: str) -> int:
-        """How many characters of the word, but for those of the other one, the text never holds."""
-        return sum(self.single[min(ord(c), POINTS - 1)] <= self.least for c in set(word).difference(other))
+    def new_characters(self, word: str, other: str) -> list[str]:
+        """The characters of the word, but for those of the other one, that the text never holds."""
+        return [c for c in set(word).difference(other) if self.single[min(ord(c), POINTS - 1)] <= self.least]
 
     @classmethod
     def joined(cls, *models: "CharModel") -> "CharModel":

@@ -99,6 +99,15 @@ def test_clean_words_in_many_languages_stay(spark):
     assert repairer.repair_all([CLEAN_WORDS]) == [(False, CLEAN_WORDS)]
 
 
+def test_common_words_beside_apostrophes_and_quotations(spark):
+    """Words whose apostrophe and letter look like a sequence are never learned; common as they are, none is flagged, at any size of the text."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/docs.parquet").select("ord", "title", "text")
+    odd = "l’école d’études l’été «École» „Spaß“ «США» Пётр"
+    many = spark.range(20_000).selectExpr("-id as ord", "'x' as title", f"concat('Le {odd} de la ville ', id) as text")
+    repairer = encoding.fit(docs.union(many), "ord", ["text", "title"])
+    assert [a for a, _ in repairer.repair_all([odd, *odd.split(), "KorvÃ©ni"])] == [False] * (1 + len(odd.split())) + [True]
+
+
 def test_parts_of_a_text_without_spaces(repairer):
     text = "结果令人意外，血压变化没有受到肾脏功能的影响。"
     damaged = text[:7] + text[7:].encode("gbk").decode("cp1252", "replace")
@@ -127,6 +136,6 @@ def test_tables_with_nulls_repeats_and_extra_columns(spark, repairer):
 
 
 def test_model_prefers_what_it_saw(spark):
-    model = train(spark.createDataFrame([("abc abd " * 50,), (None,), ("",)], "v string"), lambda t: (t.split(), []))[0]
+    model = train(spark.createDataFrame([("abc abd " * 50,), (None,), ("",)], "v string"), lambda t: (t.split(), [], []))[0]
     seen, unseen = model.score(["abc", "xqz"])
     assert seen > unseen and len(model.score([])) == 0
