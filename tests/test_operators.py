@@ -242,6 +242,14 @@ def test_first_wins_is_not_components(spark):
     assert got.pop(4) == want.get(2, 2) and got == want
 
 
+def test_first_wins_misses_no_alike_pair(spark):
+    texts = [[f"w{i}x{j}" for j in range(100)] for i in range(80)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join([*t[:50], "other", *t[51:]])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    # 91 of 101 shingles are shared, so a pair is missed with a probability of 4e-8
+    assert sorted(firstwins.near_duplicates(df, "id", "text").collect()) == [(100 + i, i) for i in range(80)]
+
+
 def test_statistics():
     assert stats.seed_of("a", "b") == stats.seed_of("ab") < 1 << 64
     assert stats.canonical_json({"b": 1, "a": "é"}) == '{"a":"\\u00e9","b":1}'
