@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import parse, stats
 from lexmill.functions import text as T
-from lexmill.operators import curation, firstwins, ledger, ordered, search
+from lexmill.operators import curation, firstwins, ledger, ordered, search, topk
 from lexmill.plans import features
 from lexmill.sources import files
 
@@ -114,6 +114,45 @@ def test_search_ties_masks_and_pruning(spark):
     assert search.bm25(corpus.limit(0), asked, 5).count() == 0
 
 
+def test_best_documents_without_scoring_all(monkeypatch):
+    rng, cells = np.random.default_rng(7), []
+    place = topk._Best._add
+    monkeypatch.setattr(topk._Best, "_add", lambda self, rows, docs: (cells.append(len(rows) * len(docs)), place(self, rows, docs))[1])
+    documents, topics, k = 4_000, 40, 5
+    topic = rng.integers(0, topics, documents)
+    held = [np.unique(np.append(topics * 3 + rng.integers(0, 60, 25), 3 * t + np.arange(3))) for t in topic]
+    doc, term = np.repeat(np.arange(documents), [len(x) for x in held]), np.concatenate(held)
+    value = rng.random(len(doc)) + 0.5
+    asked = [np.concatenate([3 * t + np.arange(3), np.sort(3 * topics + rng.choice(60, 5, replace=False))]) for t in rng.integers(0, topics, 300)]
+    starts, own = np.arange(0, 301 * 8, 8), np.concatenate(asked)
+    weight = np.where(own < 3 * topics, 3.5, 1.0)
+    hidden = rng.integers(0, 300, 500), rng.integers(0, documents, 500)
+    table = np.zeros((documents, 3 * topics + 60))
+    table[doc, term] = value
+    for held, least in ((10_000_000, 1_000), (300_000, 1_000), (100, 1_000)):  # one block, several, and matrices made from the hits
+        monkeypatch.setattr(topk, "_HELD", held)
+        cells.clear()
+        got = {(int(q), int(d)): s for part in topk.best(doc, term, value, documents, table.shape[1], (starts, own, weight), k, hidden) for q, d, s in zip(*part)}
+        for q in range(300):
+            scores = np.round(sum(w * table[:, t] for w, t in zip(weight[8 * q : 8 * q + 8], asked[q])), 6)
+            scores[hidden[1][hidden[0] == q]] = 0
+            best = sorted(range(documents), key=lambda d: (-scores[d], d))[:k]
+            assert {(q, d): got.get((q, d)) for d in best} == {(q, d): scores[d] for d in best}
+        assert len(got) == 300 * k and sum(cells) < 0.1 * 300 * documents
+
+
+def test_search_shards_and_blocks_do_not_matter(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [(f"d{i:03}", "", " ".join(f"w{int(x)}" for x in 60 * rng.random(12) ** 2)) for i in range(300)]
+    corpus = spark.createDataFrame(texts, "doc_id string, title string, text string")
+    asked = spark.createDataFrame([(i, f"w{i % 60} w{i % 7} w{i % 11}-w{i % 5}") for i in range(50)], "qid int, query string")
+    masks = spark.createDataFrame([(i, f"d{j:03}") for i in range(50) for j in range(i, 300, 9)], "qid int, doc_id string")
+    want = sorted(search.bm25(corpus, asked, 4, masks).collect())
+    monkeypatch.setattr(search, "SHARD", 40)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 20)
+    assert want and sorted(search.bm25(corpus, asked, 4, masks).collect()) == want
+
+
 def test_overlay_scores_all_terms(spark):
     base = spark.createDataFrame([("base", "", "alpha rare"), *((f"z{i}", "", f"other{i}") for i in range(4))], "doc_id string, title string, text string")
     texts = {"d1": ("Alphabet", "alpha alphas\nBETA"), "d2": ("x", "beta-gamma gamma"), "d3": ("", "none"), "d4": ("", "ααα 東京東京"), "d5": ("x", "beta-gamma gamma"), **{f"m{i:02}": ("", "aaa " * (i % 4)) for i in range(30)}}
