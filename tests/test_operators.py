@@ -153,6 +153,19 @@ def test_search_shards_and_blocks_do_not_matter(spark, monkeypatch):
     assert want and sorted(search.bm25(corpus, asked, 4, masks).collect()) == want
 
 
+def test_documents_that_hold_all_terms(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = {i: {f"w{int(x)}" for x in 30 * rng.random(8) ** 2} | {"common"} for i in range(120)}
+    corpus = spark.createDataFrame([(f"d{i}", "common", " ".join(sorted(t)) + " common") for i, t in texts.items()], "doc_id string, title string, text string")
+    sets = {i: [f"w{int(x)}" for x in 30 * rng.random(1 + i % 3) ** 2] + ["common"] * (i % 2) for i in range(60)} | {60: ["unknown", "common"], 61: ["common"], 62: ["common", "common"]}
+    wanted = spark.createDataFrame([(i, t) for i, terms in sets.items() for t in terms], "set_id int, term string")
+    brute = {i: sum(set(terms) <= t for t in texts.values()) for i, terms in sets.items()}
+    monkeypatch.setattr(search, "_MERGED", 50)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 25)
+    assert dict(search.containing_all(corpus, wanted).collect()) == {i: n for i, n in brute.items() if n}
+    assert search.containing_all(corpus, wanted.limit(0)).count() == 0
+
+
 def test_overlay_scores_all_terms(spark):
     base = spark.createDataFrame([("base", "", "alpha rare"), *((f"z{i}", "", f"other{i}") for i in range(4))], "doc_id string, title string, text string")
     texts = {"d1": ("Alphabet", "alpha alphas\nBETA"), "d2": ("x", "beta-gamma gamma"), "d3": ("", "none"), "d4": ("", "ααα 東京東京"), "d5": ("x", "beta-gamma gamma"), **{f"m{i:02}": ("", "aaa " * (i % 4)) for i in range(30)}}
