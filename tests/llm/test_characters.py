@@ -139,3 +139,15 @@ def test_model_prefers_what_it_saw(spark):
     model = train(spark.createDataFrame([("abc abd " * 50,), (None,), ("",)], "v string"), lambda t: (t.split(), [], []))[0]
     seen, unseen = model.score(["abc", "xqz"])
     assert seen > unseen and len(model.score([])) == 0
+
+
+def test_candidates_are_all_outcomes():
+    word = "Ångström’s"
+    for read in ("latin-1", "cp1252", "latin-1", "cp1252")[: encoding.ROUNDS]:
+        word = word.encode().decode(read, "replace")
+    found, edge = set(), {word}
+    for _ in range(encoding.ROUNDS):
+        edge = {b for w in edge for read in encoding.SEQUENCES_READ_IN if (b := encoding._utf8_back(w, read)) is not None} - found - {word}
+        found |= edge
+    wanted = {w for w in found if encoding._likely_text(w) and not encoding._torn(word, w)}
+    assert "Ångström’s" in wanted and set(encoding.candidates(word)[0]) == wanted
