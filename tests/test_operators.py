@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import parse, stats
 from lexmill.functions import text as T
-from lexmill.operators import curation, firstwins, ledger, ordered, search, topk
+from lexmill.operators import curation, firstwins, ledger, ordered, search, substrings, topk
 from lexmill.plans import features
 from lexmill.sources import files
 
@@ -182,6 +182,51 @@ def test_overlay_scores_all_terms(spark):
     assert known[1] and got[1][0] == ("d1", 4.0)
 
 
+def test_substring_counts_look_into_few_documents(monkeypatch):
+    rng = np.random.default_rng(11)
+    sizes = (20 * rng.pareto(2, 4_000) + 5).astype(int)
+    texts = [" ".join(f"W{int(x)}" for x in 40 * rng.random(n) ** 2) for n in sizes]
+    bags = [{f"w{int(x)}": int(n) for x, n in zip(40 * rng.random(q % 9) ** 2, rng.integers(1, 3, 9))} for q in range(120)]
+    terms = sorted({t for bag in bags for t in bag})
+    asked = np.append(0, np.cumsum([len(b) for b in bags])), np.array([terms.index(t) for b in bags for t in b]), np.array([n for b in bags for n in b.values()])
+    hidden = np.repeat(np.arange(120), 500), rng.integers(0, 4_000, 60_000)
+    table = np.array([[t.lower().count(x) for x in terms] for t in texts])
+    counts, cells, sums = substrings.Counts(terms), [], substrings._Part.sums
+    longest = np.argsort(-sizes)[:200]
+    place = {d: i for i, d in enumerate(longest.tolist())}
+    near = np.array([(q, place[d]) for q, d in zip(*map(np.ndarray.tolist, hidden)) if d in place]).T
+    floor = substrings.Best(len(terms), asked, 5).floors(counts.of([texts[d] for d in longest]), 200, tuple(near))
+    monkeypatch.setattr(substrings._Part, "sums", lambda part, level, at, weight, rows, cols: (cells.append(len(rows) * (substrings._BLOCK if level == 2 else 0)), sums(part, level, at, weight, rows, cols))[1])
+    for held, waiting in ((4_000_000, 1_000_000), (20_000, 10)):  # one part and several
+        monkeypatch.setattr(substrings, "_CELLS", held)
+        monkeypatch.setattr(substrings, "_WAITING", waiting)
+        cells.clear()
+        best = substrings.Best(len(terms), asked, 5, floor)
+        for low in (0, 2_000):
+            there = (hidden[1] >= low) & (hidden[1] < low + 2_000)
+            best.meet(counts.of(texts[low : low + 2_000]), 2_000, (hidden[0][there], hidden[1][there] - low))
+        got = {(q, d): s for q, d, s in zip(*map(np.ndarray.tolist, best.result()))}
+        for q, bag in enumerate(bags):
+            scores = table @ np.array([bag.get(t, 0) for t in terms])
+            scores[hidden[1][hidden[0] == q]] = 0
+            order = [d for d in sorted(range(4_000), key=lambda d: (-scores[d], d))[:5] if scores[d] > 0]
+            assert {d: s for (p, d), s in got.items() if p == q} == {d: scores[d] for d in order}
+        assert sum(cells) < 0.25 * 120 * 4_000
+
+
+def test_overlay_in_blocks_searches_the_base_where_it_can_matter(spark, monkeypatch):
+    base = spark.createDataFrame([(f"b{i}", "", f"rare{i} a") for i in range(30)], "doc_id string, title string, text string")
+    docs = spark.createDataFrame([(f"d{i:02}", "", "a common word " * (i % 7 + 9)) for i in range(40)], "doc_id string, title string, text string").repartition(3)
+    queries = spark.createDataFrame([(i, "a common word of" if i % 3 else f"rare{i}") for i in range(12)], "qid int, query string")
+    want, asked, bm25 = sorted(search.overlay(base, docs, queries, 4).collect()), [], search.bm25
+    monkeypatch.setattr(search, "bm25", lambda corpus, some, *more: (asked.append({r.qid for r in some.collect()}), bm25(corpus, some, *more))[1])
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    assert sorted(search.overlay(base, docs, queries, 4).collect()) == want
+    assert asked == [{0, 3, 6, 9}]
+    assert [r.doc_id for r in sorted(want, key=lambda r: (r.qid, r["rank"])) if r.qid == 1] == ["d06", "d13", "d20", "d27"]
+    assert {r.qid: r.doc_id for r in want if r.qid % 3 == 0} == {i: f"b{i}" for i in (0, 3, 6, 9)}
+
+
 def test_ordered_operators(spark):
     df = spark.createDataFrame([("k", 5, 1, "first"), ("k", 5, 2, "tie"), ("k", 4, 0, "old"), ("n", None, 3, "null")], "key string, v int, seq int, name string")
     assert [(r.key, r.name) for r in ordered.latest(df, ["key"], "v", "seq").collect()] == [("k", "first")]
