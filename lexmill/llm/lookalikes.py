@@ -259,7 +259,10 @@ class Consistent:
             return scripts[i]
 
         changed = {}
-        for i, word in enumerate(words):
+        # ASCII words are of no interest but beside a Cyrillic one
+        wide = [i for i, word in enumerate(words) if not word.isascii()]
+        for i in sorted({j for i in wide for j in (i - 1, i, i + 1) if 0 <= j < len(words)}):
+            word = words[i]
             if word.isascii() and not ("Cyrillic" in (script_at(i - 1) if i else "", script_at(i + 1) if i + 1 < len(words) else "")):
                 continue
             own = script_at(i)

@@ -151,3 +151,15 @@ def test_candidates_are_all_outcomes():
         found |= edge
     wanted = {w for w in found if encoding._likely_text(w) and not encoding._torn(word, w)}
     assert "Ångström’s" in wanted and set(encoding.candidates(word)[0]) == wanted
+
+
+def test_long_words_are_restored_in_arrays_as_sequences_are(monkeypatch):
+    text = "結果は驚くべきもの，№7🙂ñandú߿ࠀ€" * 9
+    words = [text.encode().decode(a, "replace").encode("utf-8", "ignore").decode(b, "replace") for a in ("latin-1", "cp1252", "mac_roman") for b in ("latin-1", "cp437", "cp1252")]
+    words += [text.encode().decode("latin-1"), "\xed\xa0\x80\xe0\x80\x80\xf4\x90\x80\x80Ã©\xc2" * 20, "x\xc3" * 40, "ÐÑ" * 50, "é" * 100]
+    with monkeypatch.context() as m:
+        m.setattr(encoding, "_restored", lambda *_: pytest.fail("sequence by sequence"))
+        got = [encoding._all_back(w) for w in words]
+    monkeypatch.setattr(encoding, "LONG", 1 << 30)
+    assert got == [list(dict.fromkeys(encoding._all_back(w))) for w in words] and all(got[:10])
+    assert text in got[9]
