@@ -159,8 +159,10 @@ class HistoryIndex:
             if hot is not None:
                 blocks = entries.join(hot, "key", "left").select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == BAND, F.coalesce("blocks", F.lit(1)) - 1).otherwise(0))).alias("block"))
                 mine = blocks.select("kind", self._spread(F.col("key"), F.col("block")).alias("key"), "check", "id").distinct()
-            run = self.spark.table(name).select("kind", "key", "check", F.col("id").alias("other"))
-            hits = run.join(mine.hint("shuffle_hash"), ["key", "kind", "check"]).select("kind", "id", "other")
+            run = self.spark.table(name).select(F.col("kind").alias("run_kind"), "key", F.col("check").alias("run_check"), F.col("id").alias("other"))
+            # not as further keys: a join by more than the buckets' key would shuffle the run
+            alike = (F.col("kind").bitwiseXOR(F.col("run_kind")) == 0) & (F.col("check").bitwiseXOR(F.col("run_check")) == 0)
+            hits = run.join(mine.hint("shuffle_hash"), "key").where(alike).select("kind", "id", "other")
             found = hits if found is None else found.unionByName(hits)
         return found
 

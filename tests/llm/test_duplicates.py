@@ -183,3 +183,17 @@ def test_given_records(spark):
     df = spark.read.parquet(f"{DATA}/docs.parquet")
     rows = [(r.ord, r.text) for r in df.select("ord", "text").collect()]
     assert {(r.a, r.b) for r in neardup.near_duplicate_pairs(df, "ord", "text").collect()} == brute_pairs(rows, 0.7)
+
+
+def test_history_runs_are_not_shuffled(spark):
+    index = history.HistoryIndex(spark, None)
+    kinds = "kind int, key long, check long, id long"
+    index._write(spark.createDataFrame([(0, 7, 0, 1), (1, 7, 5, 2), (2, 7, 5, 3), (1, 7, -(2**63), 4), (0, 8, 0, 5)], kinds))
+    found = index.windows(spark.createDataFrame([(0, 7, 0, 10), (1, 7, 5, 11), (1, 7, 2**63 - 1, 12), (2, 9, 5, 13)], kinds))
+    try:
+        assert sorted(map(tuple, found.collect())) == [(0, 10, 1), (1, 11, 2)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        run = [line for line in plan.splitlines() if "run_" in line and "FileScan" in line]
+        assert run and all("Bucketed: true" in line for line in run)
+    finally:
+        index.drop()
