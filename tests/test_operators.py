@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import math
 import struct
 import unicodedata
 
@@ -16,6 +17,7 @@ from lexmill.functions import parse, stats
 from lexmill.functions import text as T
 from lexmill.operators import curation, firstwins, ledger, ordered, search, substrings, topk
 from lexmill.plans import features
+from lexmill.plans import search as search_plans
 from lexmill.sources import files
 
 
@@ -141,6 +143,42 @@ def test_best_documents_without_scoring_all(monkeypatch):
         assert len(got) == 300 * k and sum(cells) < 0.1 * 300 * documents
 
 
+def test_best_documents_of_long_queries():
+    rng, documents, terms, k = np.random.default_rng(11), 500, 400, 5
+    table = np.where(rng.random((documents, terms)) < 0.1, rng.random((documents, terms)) + 0.5, 0)
+    table[7] = table[3]  # a tie
+    doc, term = np.nonzero(table)
+    asked = [np.sort(rng.choice(terms, n, replace=False)) for n in (3, 32, 33, 1, 127, 129, 300, 0, 400, 20)]
+    starts, own = np.append(0, np.cumsum([len(x) for x in asked])), np.concatenate(asked)
+    weight = rng.random(len(own)) + 0.5
+    hidden = rng.integers(0, len(asked), 900), rng.integers(0, documents, 900)
+    got = {(int(q), int(d)): s for part in topk.best(doc, term, table[doc, term], documents, terms, (starts, own, weight), k, hidden) for q, d, s in zip(*part)}
+    want = {}
+    for q, some in enumerate(asked):
+        scores = np.round(sum((w * table[:, t] for w, t in zip(weight[starts[q] :], some)), np.zeros(documents)), 6)
+        scores[hidden[1][hidden[0] == q]] = 0
+        want |= {(q, d): scores[d] for d in sorted(range(documents), key=lambda d: (-scores[d], d))[:k] if scores[d] > 0}
+    assert got == want
+
+
+def test_search_counts_all_terms_of_long_questions(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = {f"d{i:02}": [f"w{int(x)}" for x in 400 * rng.random(30)] for i in range(60)} | {"z": ["last"]}
+    asked = {n: [f"w{int(x)}" for x in 400 * rng.random(n)] for n in (5, 32, 33, 150, 600)} | {50: ["nowhere"] * 49 + ["last"]}
+    spark.createDataFrame([(i, d, "", " ".join(w), "", "") for i, (d, w) in enumerate(texts.items())], "ord long, doc_id string, title string, text string, url string, category string").write.parquet(f"{tmp_path}/docs.parquet")
+    spark.createDataFrame([(str(n), " ".join(q)) for n, q in asked.items()], "task_id string, question string").write.parquet(f"{tmp_path}/tasks.parquet")
+    df = {w: sum(w in t for t in texts.values()) for q in asked.values() for w in q}
+    average, want = sum(map(len, texts.values())) / len(texts), {}
+    for n, q in asked.items():
+        scores = {d: round(sum(max(math.log((61 - df[w] + 0.5) / (df[w] + 0.5)), 1e-6) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / average)) for w in q), 6) for d, t in texts.items()}
+        best = sorted((-s, d) for d, s in scores.items() if s > 0)[:10]
+        want |= {(str(n), d): (r, pytest.approx(-s, abs=2e-6)) for r, (s, d) in enumerate(best, 1)}
+    assert max(df.values()) <= 15 and ("50", "z") in want  # no term is too common
+    assert {(r.qid, r.doc_id): (r["rank"], r.score) for r in search_plans.search_bm25_top10(spark, str(tmp_path)).collect()} == want
+    monkeypatch.setattr(search, "QUERY_BLOCK", 10)  # blocks by the number of terms
+    assert {(r.qid, r.doc_id): (r["rank"], r.score) for r in search_plans.search_bm25_top10(spark, str(tmp_path)).collect()} == want
+
+
 def test_search_shards_and_blocks_do_not_matter(spark, monkeypatch):
     rng = np.random.default_rng(3)
     texts = [(f"d{i:03}", "", " ".join(f"w{int(x)}" for x in 60 * rng.random(12) ** 2)) for i in range(300)]
